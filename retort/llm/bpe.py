@@ -102,7 +102,7 @@ class Codec:
         """Encode new words and remember them."""
         raw = [w.encode() for w in words]
         proposed = [self.propose(r) for r in raw]
-        counts = np.array([len(p) for p in proposed])
+        counts = np.array([len(p) for p in proposed], np.int64)
         flat = np.array([t for p in proposed for t in p], np.int64)
         word = np.repeat(np.arange(len(words)), counts)
         inner = np.flatnonzero(word[1:] == word[:-1])
