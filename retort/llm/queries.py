@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_format, exact_dedup, quality, sharding, simhash
+from . import bpe, chat_format, exact_dedup, quality, sharding, simhash, webp
 from .shared import table
 
 
@@ -32,6 +32,10 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.rotate(table(spark, sf_dir, "conversations"))
 
 
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.media(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_bpe": op4_bpe,
         "op6_quality_classifier": op6_quality_classifier,
         "op8_chat_formatting": op8_chat_formatting,
+        "op9_media_columns": op9_media_columns,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
