@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, chat_format, exact_dedup, quality, sharding, simhash, webp
+from . import bpe, chat_format, exact_dedup, mixing, quality, sharding, simhash, webp
 from .shared import table
 
 
@@ -28,6 +29,20 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+#: Shares of tokens that the mixture shall have of each language.
+MIXTURE = {"de": 0.15, "en": 0.55, "es": 0.15, "fr": 0.15}
+
+
+def languages(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The labelled documents with their language as domain."""
+    return labels.select("doc_id").join(docs.select("doc_id", F.col("lang").alias("domain")), "doc_id")
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix(docs, languages(docs, table(spark, sf_dir, "labels")), MIXTURE)
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.rotate(table(spark, sf_dir, "conversations"))
 
@@ -46,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash_near_dedup": op3_simhash_near_dedup,
         "op4_bpe": op4_bpe,
         "op6_quality_classifier": op6_quality_classifier,
+        "op7_mixing": op7_mixing,
         "op8_chat_formatting": op8_chat_formatting,
         "op9_media_columns": op9_media_columns,
         "op10_exact_dedup": op10_exact_dedup,
