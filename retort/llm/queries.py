@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, exact_dedup, mixing, quality, sharding, simhash, webp
+from . import bpe, chat_format, exact_dedup, mixing, quality, sharding, simhash, substrings, webp
 from .shared import table
 
 
@@ -24,6 +24,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -60,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_sharding": op2_sharding,
         "op3_simhash_near_dedup": op3_simhash_near_dedup,
         "op4_bpe": op4_bpe,
+        "op5_substring_dedup": op5_substring_dedup,
         "op6_quality_classifier": op6_quality_classifier,
         "op7_mixing": op7_mixing,
         "op8_chat_formatting": op8_chat_formatting,
