@@ -230,3 +230,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.coalesce("c", "doc_id").alias("component_id"),
     )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, all columns, with one row of each component of near duplicates: that of least (doc_id, hash of the text).
+
+    Of repeated rows one stays. Rows with a null doc_id are ordered before all others."""
+    mark = F.xxhash64(F.col(text_col)).alias("__th")
+    key = docs.select(F.struct(F.col(id_col).alias("__k"), mark).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = staged(near_duplicates(key.select("doc_id", "text")), "near")
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    kept = rows.where(first).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).select("doc_id.__k", "doc_id.__th", "n")
+    kept = staged(kept, "kept")
+    here = F.col(id_col).eqNullSafe(F.col("__k")) & (F.xxhash64(F.col(text_col)) == F.col("__th"))
+    out = docs.join(kept.where("n = 1"), here, "left_semi")
+    more = kept.where("n > 1")
+    if more.isEmpty():
+        return out
+    again = staged(docs.join(more, here).withColumn("__row", F.monotonically_increasing_id()), "again")
+    one = again.groupBy("__k", "__th").agg(F.min("__row").alias("__first"))
+    again = again.join(staged(one, "one").select("__first"), F.col("__row") == F.col("__first"), "left_semi")
+    return out.unionByName(again.select(*docs.columns))
