@@ -35,6 +35,11 @@ def significant_figures(c: Column, kind: DataType) -> Column:
     has_exponent = F.size(parts) > 1
     mantissa = F.when(has_exponent, F.regexp_replace(parts[0], r"\.0$", "")).otherwise(parts[0])
     digits = F.length(F.regexp_replace(F.regexp_replace(mantissa, r"\.", ""), "^0+", ""))
+    # The JVM may write a digit more than needed.
+    v = F.abs(c.cast("double"))
+    short = F.format_string("%.15e", v)
+    fewer = F.length(F.regexp_replace(F.regexp_replace(F.split(short, "e")[0], r"\.", ""), "0+$", ""))
+    digits = F.when(digits >= 17, F.when(short.try_cast("double") == v, fewer).otherwise(F.lit(17))).otherwise(digits)
     exponent = F.when(has_exponent, parts[1].try_cast("int")).otherwise(F.lit(0))
     positional = (exponent >= 7) & (exponent < 16)
     return F.greatest(F.lit(1), F.when(positional & (digits - 1 <= exponent), exponent + 2).otherwise(digits))

@@ -24,6 +24,14 @@ STRATEGY = "Deduplication Strategy"
 _TIE = 9  #: decimals in which distances to the mean are compared, so that ties don't hang on the last bit
 
 
+def _shapiro():
+    @F.pandas_udf("double")
+    def p_value(s: pd.Series) -> float:
+        return shapiro_p(s)
+
+    return p_value
+
+
 @dataclass(frozen=True)
 class Dedup:
     """What to deduplicate by, and how. Rows count in the order of order_by (default: as read)."""
@@ -132,7 +140,7 @@ class Dedup:
         if self.method != "3sigma":
             stats |= {"__q": F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))).over(w)}
         if self.method == "auto":
-            stats |= {"__p": F.pandas_udf(lambda s: shapiro_p(s), "double")(x).over(w)}
+            stats |= {"__p": _shapiro()(x).over(w)}
         df = df.withColumns(stats)
         sigma, reach = x.between(F.col("__m") - 3 * F.col("__s"), F.col("__m") + 3 * F.col("__s")), None
         if self.method != "3sigma":
