@@ -79,6 +79,10 @@ def read_record(record: str) -> tuple[str | None, dict[str, str]]:
     """(SMILES or None, properties) of an SD record."""
     record = record.replace("\r\n", "\n")
     block, _, rest = record.partition("M  END")
+    # Whatever stands above the counts line, title and comment make three lines.
+    lines = block.split("\n")
+    start = next((i for i, line in enumerate(lines) if line.rstrip().endswith("V2000")), 0)
+    block = "\n".join(["", "", "", *lines[start:]])
     properties, name, value = {}, None, []
     for line in rest.split("\n")[1:]:
         if m := _PROPERTY.match(line):

@@ -21,7 +21,7 @@ from ..functions.shapiro import shapiro_p
 from ..roles import ROW
 
 STRATEGY = "Deduplication Strategy"
-_TIE = 9  #: decimals in which distances to the mean are compared, so that ties don't hang on the last bit
+_TIE = 9  #: decimals in which distances to the mean, as parts of it, are compared: ties don't hang on the last bit
 
 
 def _shapiro():
@@ -154,7 +154,7 @@ class Dedup:
         df = df.where(few | keep).withColumn("__mean", F.avg(x).over(w))
         strategy = F.when(F.col("__n") == 1, F.lit("no change")).when(few, F.lit("<=3(mean)")).otherwise(label)
         new = F.when(F.col("__n") == 1, x).otherwise(F.col("__mean"))
-        order = F.struct(F.round(F.abs(x - F.col("__mean")), _TIE).alias("d"), F.col(ROW).alias("r"))
+        order = F.struct(F.round(F.abs(x - F.col("__mean")) / F.greatest(F.lit(1.0), F.abs("__mean")), _TIE).alias("d"), F.col(ROW).alias("r"))
         return self._pick(df, columns, order, new, strategy)
 
     def _custom(self, df: DataFrame, columns: list[str]) -> DataFrame:
@@ -175,7 +175,7 @@ class Dedup:
                 mean = kept.mean() if isinstance(result, pd.Series) else float(result)
             if kept.empty:
                 return pd.DataFrame(columns=[f.name for f in schema])
-            row = g.loc[[(kept - mean).abs().round(_TIE).idxmin()], columns].copy()
+            row = g.loc[[((kept - mean).abs() / max(1.0, abs(mean))).round(_TIE).idxmin()], columns].copy()
             row[new], row[STRATEGY] = mean, label
             return row
 

@@ -115,7 +115,7 @@ def read_sdf(spark: SparkSession, path: str, smiles: str = "smiles") -> DataFram
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [read_record(v.lstrip("\n") if v.startswith("\n") else v) for v in b["value"]]
+            rows = [read_record(v) for v in b["value"]]
             yield pd.DataFrame([(s, p) for s, p in rows if s is not None], columns=["__smiles", "__props"])
 
     parsed = records.mapInPandas(run, "__smiles string, __props map<string,string>").persist()
