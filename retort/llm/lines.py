@@ -3,9 +3,10 @@
 A line is compared in lower case with single blanks. Equal lines have equal 128-bit hashes and count as one from then
 on. Lines of SHINGLE characters or more get a signature of BANDS x ROWS minima over hashed character shingles; lines
 that agree in a band meet in a bucket. In each bucket all lines are compared with a pivot, the most frequent one first;
-a pair links if the exact Jaccard similarity of its shingle sets is SIMILARITY or more. Buckets whose lines aren't all
-in one component yet get further pivots, more in each round, until every pair across components has been compared. So
-no link that the bands show is lost, and a large group of variants costs little once its centre has been a pivot.
+a pair links if the exact Jaccard similarity of its shingle sets is SIMILARITY or more. In buckets whose lines aren't
+all in one component yet, lines outside the first one's component are pivots, more in each round, until every pair
+across components has been compared. So no link that the bands show is lost, and a large group of variants costs little
+once its centre has been a pivot.
 """
 
 from __future__ import annotations
@@ -140,7 +141,7 @@ def buckets(docs: DataFrame, parts: int) -> DataFrame:
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(h0, h1, line) of at least all lines whose h0 is in wanted, repeats possible.
+    """(h0, h1, line, size of its shingle set) of at least all lines whose h0 is in wanted, repeats possible.
 
     A filter of fixed size spares most other lines the shuffle; the join that follows is exact."""
     mask = (1 << FILTER_BITS) - 1
@@ -157,68 +158,89 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             lines, ids = _fresh(b.column(0).to_pylist())
             h = ids[:, 0]
             hit = np.flatnonzero(bits[(h & mask) >> 6] >> (h & 63) & 1)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[hit, 0]), pa.array(ids[hit, 1]), pa.array([lines[i] for i in hit.tolist()], pa.string())], names=["h0", "h1", "line"])
+            found = [lines[i] for i in hit.tolist()]
+            sizes = pa.array([len(shingles(x)) for x in found], pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(ids[hit, 0]), pa.array(ids[hit, 1]), pa.array(found, pa.string()), sizes], names=["h0", "h1", "line", "size"])
 
-    return docs.select("text").mapInArrow(run, "h0 long, h1 long, line string")
+    return docs.select("text").mapInArrow(run, "h0 long, h1 long, line string, size int")
 
 
 def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs: a, b; texts: id, line. The pairs whose lines are similar, by exact comparison."""
+    """pairs: a, b, ca, cb; texts: id, line. The pairs whose lines are similar, by exact comparison."""
     left, right = (texts.select(F.col("id").alias(f"i{s}"), F.col("line").alias(f"l{s}")) for s in "ab")
-    both = pairs.join(left, pairs.a == left.ia).join(right, F.col("b") == right.ib).select("a", "b", "la", "lb")
+    both = pairs.join(left, pairs.a == left.ia).join(right, F.col("b") == right.ib).select("a", "b", "ca", "cb", "la", "lb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, set()
         for batch in batches:
-            a, b, la, lb = (batch.column(k).to_pylist() for k in range(4))
+            a, la, lb = (batch.column(k).to_pylist() for k in (0, 4, 5))
             hit = []
             for i in sorted(range(len(a)), key=a.__getitem__):
                 if a[i] != last:
                     last, held = a[i], shingles(la[i])
                 other = shingles(lb[i])
-                if min(len(held), len(other)) < SIMILARITY * max(len(held), len(other)):
-                    continue
                 common = len(held & other)
                 if common >= SIMILARITY * (len(held) + len(other) - common):
                     hit.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in hit], pa.string()), pa.array([b[i] for i in hit], pa.string())], names=["a", "b"])
+            yield batch.select([0, 1, 2, 3]).take(pa.array(hit, pa.int32()))
 
-    return both.mapInArrow(run, "a string, b string")
+    return both.mapInArrow(run, "a string, b string, ca string, cb string")
+
+
+def _merged(of: DataFrame | None, fresh: DataFrame) -> DataFrame:
+    """of: node, component so far; fresh: links between the components ca and cb. The components after these links."""
+    new = connected(fresh.select(F.col("ca").alias("a"), F.col("cb").alias("b")), "lines")
+    if of is None:
+        return staged(new, "components")
+    moved = new.select(F.col("node").alias("was"), F.col("component").alias("now"))
+    old = of.join(moved, F.col("component") == F.col("was"), "left").select("node", F.coalesce("now", "component").alias("component"))
+    single = new.join(of.select("node"), "node", "left_anti")
+    return staged(old.unionByName(single), "components")
 
 
 def components(docs: DataFrame, counts: DataFrame) -> DataFrame | None:
-    """counts: h0, h1, id, n of distinct lines. (node, component) of the lines that are similar to others."""
+    """counts: h0, h1, id, n of distinct lines. (node, component) of the lines that are similar to others.
+
+    In the first round a bucket's lines meet its most frequent one. From then on only lines outside that one's
+    component are pivots, 8 times as many in each round: every pair across components has such a line."""
     spark = docs.sparkSession
     met = staged(buckets(docs, 2 * n_tasks(spark)), "buckets")
     if met.isEmpty():
         return None
-    members = met.join(counts, "h0").select("key", "id", F.struct((-F.col("n")).alias("often"), "id").alias("order"))
-    members = staged(members, "members")
-    texts = _texts(docs, met.select("h0").distinct())
-    names = counts.join(met.select("h0").distinct(), "h0").select("h0", "h1", "id")
-    texts = staged(texts.dropDuplicates(["h0", "h1"]).join(names, ["h0", "h1"]).select("id", "line"), "texts")
-    links, of, pivots = None, None, 1
+    wanted = met.select("h0").distinct()
+    names = counts.join(wanted, "h0").select("h0", "h1", "id")
+    texts = staged(_texts(docs, wanted).dropDuplicates(["h0", "h1"]).join(names, ["h0", "h1"]).select("id", "line", "size"), "texts")
+    order = F.struct((-F.col("n")).alias("often"), "id").alias("order")
+    members = met.join(counts, "h0").select("key", "id", order).join(texts.select("id", "size"), "id")
+    members = staged(members.select("key", "id", "order", "size"), "members")
+    of, pivots = None, 1
     while True:
+        c = F.col("id")
         if of is not None:
-            # Pivots have met all others; buckets in one component are done.
-            placed = members.join(of, F.col("id") == F.col("node"), "left").select("key", "id", "order", F.coalesce("component", "id").alias("c"))
-        else:
-            placed = members.select("key", "id", "order", F.col("id").alias("c"))
-        mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-        placed = staged(placed.join(mixed, "key"), "placed")
+            members, c = members.join(of, F.col("id") == F.col("node"), "left"), F.coalesce("component", "id")
+        placed = members.select("key", "id", "order", "size", c.alias("c"))
+        first = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct("order", "c")).alias("f"))
+        first = first.where("lo < hi").select("key", F.col("f.c").alias("lead"), F.col("f.order.id").alias("leader"))
+        placed = staged(placed.join(first, "key"), "placed")
         if placed.isEmpty():
-            break
+            return of
+        able = F.col("id") == F.col("leader") if of is None else F.col("c") != F.col("lead")
         share = F.pmod(F.xxhash64("id"), F.lit(pivots))
-        chosen = placed.groupBy("key", share.alias("share")).agg(F.min(F.struct("order", "c")).alias("p"))
-        chosen = staged(chosen.select("key", F.col("p.order.id").alias("a"), F.col("p.c").alias("ca")), "pivots")
-        pairs = placed.join(chosen, "key").where((F.col("id") != F.col("a")) & (F.col("c") != F.col("ca")))
-        pairs = pairs.select(F.least("a", "id").alias("x"), F.greatest("a", "id").alias("y")).distinct().select(F.col("x").alias("a"), F.col("y").alias("b"))
-        fresh = similar(pairs, texts)
-        links = staged(fresh if links is None else links.unionByName(fresh), "links")
-        of = connected(links, "lines")
-        members = staged(placed.select("key", "id", "order").join(chosen, (placed.key == chosen.key) & (F.col("id") == F.col("a")), "left_anti"), "members")
-        pivots = max(8, 2 * pivots)
-    return of
+        chosen = placed.where(able).groupBy("key", share.alias("share")).agg(F.min(F.struct("order", "c", "size")).alias("p"))
+        chosen = staged(chosen.select("key", F.col("p.order.id").alias("a"), F.col("p.c").alias("ca"), F.col("p.size").alias("sa")), "pivots")
+        pairs = placed.join(chosen, "key").where(
+            (F.col("c") != F.col("ca")) & (F.least("size", "sa") >= SIMILARITY * F.greatest("size", "sa"))
+        ).select("a", F.col("id").alias("b"), "ca", F.col("c").alias("cb"))
+        fresh = staged(similar(pairs.dropDuplicates(["a", "b"]), texts), "links")
+        if not fresh.isEmpty():
+            of = _merged(of, fresh)
+        elif of is None:
+            of = fresh.select(F.col("a").alias("node"), F.col("ca").alias("component"))
+        # Pivots have met all others of their bucket.
+        used = chosen.select(F.col("key").alias("k"), "a")
+        members = placed.select("key", "id", "order", "size").join(used, (F.col("key") == F.col("k")) & (F.col("id") == F.col("a")), "left_anti")
+        members = staged(members, "members")
+        pivots *= 8
 
 
 def removals(docs: DataFrame) -> DataFrame:

@@ -71,11 +71,11 @@ def connected(edges: DataFrame, label: str, max_rounds: int = 60) -> DataFrame:
         after = small.where(a != b).unionByName(low.select(F.col("n").alias("a"), F.col("m").alias("b"))).distinct()
         after = staged(after, f"{label}-cc")
         # Done when every node has one link and no node that is linked to is itself linked further: stars only.
-        left = after.select("a").intersect(after.select("b")).limit(1).count()
-        left += after.groupBy("a").count().where("count > 1").limit(1).count()
+        done = after.groupBy("a").count().where("count > 1").isEmpty()
+        done = done and after.select("a").intersect(after.select("b")).isEmpty()
         remove_staged(links)
         links = after
-        if not left:
+        if done:
             break
     else:
         raise RuntimeError("connected components did not settle")
