@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,3 +30,18 @@ def clean(value: Column) -> Column:
     number = F.when(~kept.contains("-") & (n >= 5), spaced).otherwise(kept)
     good = ~F.lower(text).isin(*_NOTHING) & ~bare.rlike("[a-zA-Z]") & number.rlike(r"^\d{2,7}-\d{2}-\d$") & checksum_ok(number)
     return F.when(good, number)
+
+
+def clean_text(text: str | None) -> str | None:
+    """As clean(), for a single text outside of Spark."""
+    raw = (text or "").strip()
+    bare = re.sub(r"(?i)^(casrn|cas#|cas)[\s:]*", "", raw).strip()
+    if raw.lower() in _NOTHING or re.search("[a-zA-Z]", bare):
+        return None
+    kept = re.sub("[^0-9-]", "", bare)
+    if "-" not in kept and len(kept) >= 5:
+        kept = f"{kept[:-3]}-{kept[-3:-1]}-{kept[-1]}"
+    if not re.fullmatch(r"[0-9]{2,7}-[0-9]{2}-[0-9]", kept):
+        return None
+    *rest, check = (int(d) for d in kept if d != "-")
+    return kept if sum(i * d for i, d in enumerate(reversed(rest), 1)) % 10 == check else None
