@@ -24,11 +24,14 @@ from .shared import connected, n_tasks, staged
 
 SHINGLE, SIMILARITY = 8, 0.8
 BANDS, ROWS = 10, 4  #: a pair at the threshold meets with probability 1 - (1 - 0.8 ** 4) ** 10 = 0.995
-SLICE = 1 << 18  #: characters of lines whose signatures are computed together
+SLICE = 1 << 15  #: characters of lines whose signatures are computed together, while they are in the cache
 FILTER_BITS = 24  #: logarithm of the size of the filter through which line texts are fetched: 2 MB
 
 
 def normal(line: str) -> str:
+    """In lower case, with single blanks between words and none around."""
+    if "  " not in line and line.isprintable():  # no white space but single blanks
+        return line.lower().strip()
     return " ".join(line.lower().split())
 
 
@@ -73,10 +76,9 @@ def band_keys(lines: list[str]) -> np.ndarray:
         h = h[inside]
         counts = sizes - SHINGLE + 1
         begin = np.cumsum(counts) - counts
-        minima = np.empty((BANDS * ROWS, len(sizes)), np.uint32)
+        minima, y = np.empty((BANDS * ROWS, len(sizes)), np.uint32), np.empty_like(h)
         for k, (a, b) in enumerate(zip(*_permutations(), strict=True)):
-            y = (h ^ b) * a
-            y ^= y >> np.uint32(15)
+            np.multiply(np.bitwise_xor(h, b, out=y), a, out=y)
             minima[k] = np.minimum.reduceat(y, begin)
         for band in range(BANDS):
             key = np.full(len(sizes), band + 1, np.uint64)
