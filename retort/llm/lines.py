@@ -25,6 +25,7 @@ from .shared import connected, n_tasks, staged
 SHINGLE, SIMILARITY = 8, 0.8
 BANDS, ROWS = 10, 4  #: a pair at the threshold meets with probability 1 - (1 - 0.8 ** 4) ** 10 = 0.995
 SLICE = 1 << 15  #: characters of lines whose signatures are computed together, while they are in the cache
+HELD = 500_000  #: shingles of lines that a task remembers while it compares pairs
 FILTER_BITS = 24  #: logarithm of the size of the filter through which line texts are fetched: 2 MB
 
 
@@ -173,16 +174,26 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     both = pairs.join(left, pairs.a == left.ia).join(right, F.col("b") == right.ib).select("a", "b", "ca", "cb", "la", "lb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, set()
+        held: dict[str, set[str]] = {}
+        size = 0
+
+        def of(key: str, line: str) -> set[str]:
+            nonlocal size
+            found = held.get(key)
+            if found is None:
+                if size > HELD:
+                    held.clear()
+                    size = 0
+                found = held[key] = shingles(line)
+                size += len(found)
+            return found
+
         for batch in batches:
-            a, la, lb = (batch.column(k).to_pylist() for k in (0, 4, 5))
             hit = []
-            for i in sorted(range(len(a)), key=a.__getitem__):
-                if a[i] != last:
-                    last, held = a[i], shingles(la[i])
-                other = shingles(lb[i])
-                common = len(held & other)
-                if common >= SIMILARITY * (len(held) + len(other) - common):
+            for i, (a, b, la, lb) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 1, 4, 5)), strict=True)):
+                x, y = of(a, la), of(b, lb)
+                common = len(x & y)
+                if common >= SIMILARITY * (len(x) + len(y) - common):
                     hit.append(i)
             yield batch.select([0, 1, 2, 3]).take(pa.array(hit, pa.int32()))
 
