@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected, n_tasks, staged
+from .shared import connected, n_tasks, remove_staged, staged
 
 SHINGLE, SIMILARITY = 8, 0.8
 BANDS, ROWS = 10, 4  #: a pair at the threshold meets with probability 1 - (1 - 0.8 ** 4) ** 10 = 0.995
@@ -225,7 +225,7 @@ def components(docs: DataFrame, counts: DataFrame) -> DataFrame | None:
     texts = staged(_texts(docs, wanted).dropDuplicates(["h0", "h1"]).join(names, ["h0", "h1"]).select("id", "line", "size"), "texts")
     order = F.struct((-F.col("n")).alias("often"), "id").alias("order")
     members = met.join(counts, "h0").select("key", "id", order).join(texts.select("id", "size"), "id")
-    members = staged(members.select("key", "id", "order", "size"), "members")
+    members = kept = staged(members.select("key", "id", "order", "size"), "members")
     of, pivots = None, 1
     while True:
         c = F.col("id")
@@ -252,7 +252,10 @@ def components(docs: DataFrame, counts: DataFrame) -> DataFrame | None:
         # Pivots have met all others of their bucket.
         used = chosen.select(F.col("key").alias("k"), "a")
         members = placed.select("key", "id", "order", "size").join(used, (F.col("key") == F.col("k")) & (F.col("id") == F.col("a")), "left_anti")
-        members = staged(members, "members")
+        before, members = kept, staged(members, "members")
+        for done in (before, placed, chosen):
+            remove_staged(done)
+        kept = members
         pivots *= 8
 
 
