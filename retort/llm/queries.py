@@ -79,4 +79,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat_formatting": chat_format.SQL, "op10_exact_dedup": exact_dedup.SQL}
+    return {"op5_substring_dedup": substrings.SQL, "op8_chat_formatting": chat_format.SQL, "op10_exact_dedup": exact_dedup.SQL}

@@ -221,3 +221,15 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
             F.when(F.col("w").isNotNull() & (F.col("n_words") >= WINDOW), F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept", "whole")).alias("kept_sha256"),
         )
     )
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT r, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
+hit AS (SELECT r, i FROM win JOIN (SELECT h FROM win GROUP BY h HAVING count(*) > 1) USING (h)),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS j FROM hit),
+word AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM d),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY j) AS k, count(*) AS n FROM word ANTI JOIN gone USING (r, j) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
