@@ -24,8 +24,8 @@ from .shared import connected, n_tasks, remove_staged, staged
 
 SHINGLE, SIMILARITY = 8, 0.8
 BANDS, ROWS = 10, 4  #: a pair at the threshold meets with probability 1 - (1 - 0.8 ** 4) ** 10 = 0.995
-SLICE = 1 << 15  #: characters of lines whose signatures are computed together, while they are in the cache
-HELD = 500_000  #: shingles of lines that a task remembers while it compares pairs
+SLICE = 1 << 16  #: characters of lines whose signatures are computed together, while they are in the cache
+HELD = 2_000_000  #: shingles of lines that a task remembers while it compares pairs
 FILTER_BITS = 24  #: logarithm of the size of the filter through which line texts are fetched: 2 MB
 
 
@@ -40,6 +40,27 @@ def shingles(line: str) -> set[str]:
     return {line[i : i + SHINGLE] for i in range(len(line) - SHINGLE + 1)}
 
 
+def packed(line: str) -> np.ndarray | set[str]:
+    """The shingles as sorted 64-bit numbers, each the bytes of its characters; as text if one needs more than a byte."""
+    try:
+        raw = line.encode("latin-1")
+    except UnicodeEncodeError:
+        return shingles(line)
+    return np.unique(np.ndarray((len(raw) - SHINGLE + 1,), "<u8", raw, strides=(1,)))
+
+
+def common(a: np.ndarray | set[str], b: np.ndarray | set[str]) -> int:
+    """How many shingles two lines share."""
+    if isinstance(a, set) and isinstance(b, set):
+        return len(a & b)
+    if isinstance(a, set) or isinstance(b, set):  # only what both can write in a byte may be shared
+        text, numbers = (a, b) if isinstance(a, set) else (b, a)
+        return len({x for x in text if x.isascii() or max(x) < "\u0100"} & {n.tobytes().decode("latin-1") for n in numbers})
+    both = np.concatenate((a, b))
+    both.sort()
+    return int(np.count_nonzero(both[1:] == both[:-1]))
+
+
 def _ids(lines: list[str]) -> np.ndarray:
     """128-bit hashes as two columns."""
     return np.frombuffer(b"".join([xxhash.xxh3_128_digest(x.encode()) for x in lines]), np.int64).reshape(-1, 2)
@@ -81,12 +102,11 @@ def band_keys(lines: list[str]) -> np.ndarray:
         for k, (a, b) in enumerate(zip(*_permutations(), strict=True)):
             np.multiply(np.bitwise_xor(h, b, out=y), a, out=y)
             minima[k] = np.minimum.reduceat(y, begin)
-        for band in range(BANDS):
-            key = np.full(len(sizes), band + 1, np.uint64)
-            for row in minima[band * ROWS : (band + 1) * ROWS]:
-                key = (key ^ row) * np.uint64(0xFF51AFD7ED558CCD)
-                key ^= key >> np.uint64(32)
-            out[at:end, band] = key
+        key = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[:, None], len(sizes), 1)
+        for row in range(ROWS):
+            key = (key ^ minima[row::ROWS]) * np.uint64(0xFF51AFD7ED558CCD)
+            key ^= key >> np.uint64(32)
+        out[at:end] = key.T
         at = end
     return out
 
@@ -135,10 +155,14 @@ def buckets(docs: DataFrame, parts: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array([x.tobytes() for x in blobs][: len(keys)], pa.binary())], names=["part", "entries"])
 
     def meet(t: pa.Table) -> pa.Table:
-        e = np.unique(np.frombuffer(b"".join(t.column("entries").to_pylist()), _ENTRY))
-        same = e["key"][1:] == e["key"][:-1]
-        e = e[np.append(same, False) | np.append(False, same)]
-        return pa.table({"key": e["key"].view(np.int64), "h0": e["h0"]})
+        e = np.frombuffer(b"".join(t.column("entries").to_pylist()), _ENTRY)
+        order = np.lexsort((e["h0"], e["key"]))
+        key, h0 = e["key"][order], e["h0"][order]
+        new = np.append(True, (key[1:] != key[:-1]) | (h0[1:] != h0[:-1]))[: len(key)]
+        key, h0 = key[new], h0[new]
+        same = key[1:] == key[:-1]
+        held = np.append(same, False)[: len(key)] | np.append(False, same)[: len(key)]
+        return pa.table({"key": key[held].view(np.int64), "h0": h0[held]})
 
     return docs.select("text").mapInArrow(spread, "part long, entries binary").groupBy("part").applyInArrow(meet, "key long, h0 long")
 
@@ -162,7 +186,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             h = ids[:, 0]
             hit = np.flatnonzero(bits[(h & mask) >> 6] >> (h & 63) & 1)
             found = [lines[i] for i in hit.tolist()]
-            sizes = pa.array([len(shingles(x)) for x in found], pa.int32())
+            sizes = pa.array([len(packed(x)) for x in found], pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(ids[hit, 0]), pa.array(ids[hit, 1]), pa.array(found, pa.string()), sizes], names=["h0", "h1", "line", "size"])
 
     return docs.select("text").mapInArrow(run, "h0 long, h1 long, line string, size int")
@@ -174,26 +198,26 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     both = pairs.join(left, pairs.a == left.ia).join(right, F.col("b") == right.ib).select("a", "b", "ca", "cb", "la", "lb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, set[str]] = {}
+        held: dict[str, np.ndarray | set[str]] = {}
         size = 0
 
-        def of(key: str, line: str) -> set[str]:
+        def of(key: str, line: str) -> np.ndarray | set[str]:
             nonlocal size
             found = held.get(key)
             if found is None:
                 if size > HELD:
                     held.clear()
                     size = 0
-                found = held[key] = shingles(line)
-                size += len(found)
+                found = held[key] = packed(line)
+                size += len(found) * (10 if isinstance(found, set) else 1)
             return found
 
         for batch in batches:
             hit = []
             for i, (a, b, la, lb) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 1, 4, 5)), strict=True)):
                 x, y = of(a, la), of(b, lb)
-                common = len(x & y)
-                if common >= SIMILARITY * (len(x) + len(y) - common):
+                shared = common(x, y)
+                if shared >= SIMILARITY * (len(x) + len(y) - shared):
                     hit.append(i)
             yield batch.select([0, 1, 2, 3]).take(pa.array(hit, pa.int32()))
 

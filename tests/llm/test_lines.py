@@ -88,6 +88,14 @@ def test_recall_of_bands():
     assert total > 100 and hits / total > 0.98
 
 
+def test_packed_shingles():
+    rng = random.Random(7)
+    for _ in range(300):
+        a, b = ("".join(rng.choices("abé漢", (9, 9, 3, rng.choice([0, 0, 1])), k=rng.randint(8, 60))) for _ in "ab")
+        assert lines.common(lines.packed(a), lines.packed(b)) == len(lines.shingles(a) & lines.shingles(b))
+        assert len(lines.packed(a)) == len(lines.shingles(a))
+
+
 def test_band_keys_stay_inside_lines():
     one = lines.band_keys(["abcdefghij klm", "second line here", "x" * 8])
     assert (one[1] == lines.band_keys(["second line here"])[0]).all()
