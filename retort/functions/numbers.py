@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, FractionalType, IntegralType, StringType
 
@@ -22,27 +22,50 @@ def to_number(c: Column, kind: DataType) -> Column:
     return F.when(~F.isnan(d), d) if isinstance(kind, FractionalType) else d
 
 
+def _plain_figures(c: Column) -> Column:
+    """Of text and whole numbers."""
+    text = F.regexp_replace(F.split(F.lower(F.trim(c.cast("string"))), "e")[0], r"^-+", "")
+    digits = F.regexp_replace(F.regexp_replace(text, r"\.", ""), "^0+", "")
+    return F.greatest(F.lit(1), F.length(digits))
+
+
+def _digits(text: Column, v: Column) -> Column:
+    """Digits of the shortest text of a double v >= 0, given the JVM's text, which may have a digit more than needed."""
+    mantissa = F.when(text.contains("E"), F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", "")).otherwise(text)
+    found = F.length(F.regexp_replace(F.regexp_replace(mantissa, r"\.", ""), "^0+", ""))
+    short = F.format_string("%.15e", v)
+    fewer = F.length(F.regexp_replace(F.regexp_replace(F.split(short, "e")[0], r"\.", ""), "0+$", ""))
+    sure = F.length(text) < 18
+    return F.when(sure, found).when(short.try_cast("double") == v, fewer).otherwise(F.least(found, F.lit(17)))
+
+
+def _exponent(text: Column) -> Column:
+    return F.when(text.contains("E"), F.substring_index(text, "E", -1).try_cast("int")).otherwise(F.lit(0))
+
+
+def _double_figures(digits: Column, exponent: Column) -> Column:
+    positional = (exponent >= 7) & (exponent < 16)
+    return F.greatest(F.lit(1), F.when(positional & (digits - 1 <= exponent), exponent + 2).otherwise(digits))
+
+
 def significant_figures(c: Column, kind: DataType) -> Column:
     """Digits of the number as written, without sign, point, exponent and leading zeros; 1 if none is left.
 
     For doubles the shortest decimal text counts, positional from 1e-4 up to 1e16, where whole numbers end in ".0"."""
     if isinstance(kind, (StringType, IntegralType)):
-        text = F.regexp_replace(F.split(F.lower(F.trim(c.cast("string"))), "e")[0], r"^-+", "")
-        digits = F.regexp_replace(F.regexp_replace(text, r"\.", ""), "^0+", "")
-        return F.greatest(F.lit(1), F.length(digits))
-    text = F.abs(c.cast("double")).cast("string")
-    parts = F.split(text, "E")
-    has_exponent = F.size(parts) > 1
-    mantissa = F.when(has_exponent, F.regexp_replace(parts[0], r"\.0$", "")).otherwise(parts[0])
-    digits = F.length(F.regexp_replace(F.regexp_replace(mantissa, r"\.", ""), "^0+", ""))
-    # The JVM may write a digit more than needed.
+        return _plain_figures(c)
     v = F.abs(c.cast("double"))
-    short = F.format_string("%.15e", v)
-    fewer = F.length(F.regexp_replace(F.regexp_replace(F.split(short, "e")[0], r"\.", ""), "0+$", ""))
-    digits = F.when(digits >= 17, F.when(short.try_cast("double") == v, fewer).otherwise(F.lit(17))).otherwise(digits)
-    exponent = F.when(has_exponent, parts[1].try_cast("int")).otherwise(F.lit(0))
-    positional = (exponent >= 7) & (exponent < 16)
-    return F.greatest(F.lit(1), F.when(positional & (digits - 1 <= exponent), exponent + 2).otherwise(digits))
+    return _double_figures(_digits(v.cast("string"), v), _exponent(v.cast("string")))
+
+
+def with_figures(df: DataFrame, column: str, out: str) -> DataFrame:
+    """The same as a column of df, in steps, so that no part is computed twice."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, (StringType, IntegralType)):
+        return df.withColumn(out, _plain_figures(name(column)))
+    df = df.withColumn("__v", F.abs(name(column).cast("double"))).withColumn("__t", F.col("__v").cast("string"))
+    df = df.withColumns({"__d": _digits(F.col("__t"), F.col("__v")), "__e": _exponent(F.col("__t"))})
+    return df.withColumn(out, _double_figures(F.col("__d"), F.col("__e"))).drop("__v", "__t", "__d", "__e")
 
 
 def round_figures(v: Column, figures: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.formula import compile_formula, parse, uses_weight
-from ..functions.numbers import name, round_figures, significant_figures, to_number
+from ..functions.numbers import name, round_figures, to_number, with_figures
 
 # The built-in conversions. Each line is a unit, the unit it becomes, and the formula.
 DEFAULT_RULES = {
@@ -159,12 +159,13 @@ def standardize(df: DataFrame, target: str, unit: str, standard: str | None, rul
             raise ValueError("a formula needs molecular weights, but there is no column of structures")
         df = weights(df, smiles, name(unit).isin(*heavy), "__mw")
         weight = F.col("__mw")
-    kind = df.schema[target].dataType
-    x, u = to_number(name(target), kind), name(unit)
-    figures = significant_figures(name(target), kind)
-    value = F.when(u == standard, x)
+    x, u = F.col("__x"), name(unit)
+    df = with_figures(df, target, "__figures").withColumn("__x", to_number(name(target), df.schema[target].dataType))
+    converted = F.lit(None).cast("double")
     for key, f in formulas.items():
-        value = value.when(u == key, round_figures(compile_formula(f, x, weight), figures))
+        converted = F.when(u == key, compile_formula(f, x, weight)).otherwise(converted)
+    df = df.withColumn("__converted", converted)
+    value = F.when(u == standard, x).otherwise(round_figures(F.col("__converted"), F.col("__figures")))
     done = df.withColumn(new_target, value).withColumn(new_unit, F.lit(standard))
     v = name(new_target)
     return done.where(v.isNotNull() & ~F.isnan(v)).select(*[name(c) for c in [*columns, new_target, new_unit]])

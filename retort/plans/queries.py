@@ -194,7 +194,7 @@ def formula_functions(spark, sf_dir):
 # Deduplication
 def first_rows(df: DataFrame, spec: Dedup, keep: list[str]) -> DataFrame:
     got = spec(df)
-    return got.select(*keep, rounded(name(f"{spec.target}_new") + NUDGE).alias("new"), name(STRATEGY).alias("strategy"))
+    return got.select(*keep, rounded(name(f"{spec.target}_new") + NUDGE, 3).alias("new"), name(STRATEGY).alias("strategy"))
 
 
 @query("""SELECT user_id, event_type, arg_min(event_id, event_id) AS event_id,
@@ -214,7 +214,7 @@ def dedup_no_target(spark, sf_dir):
 
 
 @query("""WITH e AS (SELECT *, count(*) OVER w AS n, avg(value) OVER w AS m FROM events WHERE value > 0 WINDOW w AS (PARTITION BY event_id))
-SELECT event_id, round(-log10(value) + 1.7e-7, 6) AS new, 'no change' AS strategy FROM e""")
+SELECT event_id, round(-log10(value) + 1.7e-7, 3) AS new, 'no change' AS strategy FROM e""")
 def neg_log10(spark, sf_dir):
     return first_rows(table(spark, sf_dir, "events"), Dedup("event_id", "value", log_transform=True, order_by=("event_id",)), ["event_id"])
 
@@ -226,7 +226,7 @@ def sql_continuous(source: str, keys: str, value: str, order: str, columns: str,
     k AS (SELECT d.*, s.n FROM d JOIN s ON {' AND '.join(f'd.{k.strip()} IS NOT DISTINCT FROM s.{k.strip()}' for k in keys.split(','))} WHERE s.n <= 3 OR {bounds}),
     m AS (SELECT *, avg(v) OVER (PARTITION BY {keys}) AS mean FROM k),
     r AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY round(abs(v - mean) / greatest(1.0, abs(mean)), 9), {order}) AS place FROM m)
-    SELECT {columns}, round(CASE WHEN n = 1 THEN v ELSE mean END + {NUDGE}, 6) AS new,
+    SELECT {columns}, round(CASE WHEN n = 1 THEN v ELSE mean END + {NUDGE}, 3) AS new,
       CASE WHEN n = 1 THEN 'no change' WHEN n <= 3 THEN '<=3(mean)' ELSE '{label}' END AS strategy FROM r WHERE place = 1"""
 
 
