@@ -9,8 +9,9 @@ steps so far, so that a step is one pass over (tokens, posterior) and moves a fe
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,7 @@ from .shared import staged
 LABELLED = 6_000  #: labelled rows that the classifier is fitted on at most: those of least doc_id hash
 BUCKETS_LOG = 14  #: of trigram hashes
 STEPS, CLOSE = 40, 1e-9  #: gradient steps at most; relative residual at which they end
+LOOKS = 80  #: passes of Newton's method at most
 PART = 1 << 20  #: bytes of a text looked at together
 
 _SPACE = np.zeros(256, bool)
@@ -49,6 +51,7 @@ class Classifier:
     prior: np.ndarray
     table: np.ndarray  #: log probability by bucket and domain
     sharpness: float
+    learnt: tuple[int, ...]  #: texts that each domain's table is made of
 
     def evidence(self, texts: list[bytes]) -> np.ndarray:
         found = np.zeros((len(texts), len(self.domains)))
@@ -84,11 +87,11 @@ def fit(docs: DataFrame, labels: DataFrame, domains: list[str]) -> Classifier:
         for h in _trigrams(t):
             counts[:, k] += np.bincount(h, minlength=1 << BUCKETS_LOG)
     prior = np.bincount(y, minlength=len(domains)) + 1.0
-    fitted = Classifier(tuple(domains), prior / prior.sum(), np.log(counts / counts.sum(0)).astype(np.float32), 1.0)
+    fitted = Classifier(tuple(domains), prior / prior.sum(), np.log(counts / counts.sum(0)).astype(np.float32), 1.0, tuple(np.bincount(y[:half], minlength=len(domains)).tolist()))
     if half:
         seen, truth = fitted.evidence(texts[half:]), y[half:]
         loss = lambda s: -np.log(fitted.posterior(seen, s)[np.arange(len(truth)), truth] + 1e-12).mean()
-        return Classifier(fitted.domains, fitted.prior, fitted.table, min(np.geomspace(0.01, 10, 25).tolist(), key=loss))
+        return replace(fitted, sharpness=min(np.geomspace(0.01, 10, 25).tolist(), key=loss))
     return fitted
 
 
@@ -154,6 +157,87 @@ def rates(base: DataFrame, targets: dict[str, float], domains: tuple[str, ...],
     return _rate(start, steps, k)
 
 
+def _meet(base: DataFrame, start: Column, lower: float, rows: np.ndarray, goal: np.ndarray, scale: float) -> tuple[Column, float]:
+    """Rates nearest to start (squares weighted by tokens), none under lower, for which the sum of tokens * rate *
+    (rows @ p) is goal; and what is missing at most, relative to scale.
+
+    Newton's method on the dual: a rate is start less one number per domain times the posterior, cut at lower. A pass
+    sums over the rows; it ends early where the numbers prove that no rates can meet the goal."""
+    k = rows.shape[1]
+    tokens, p = F.col("n_tokens").cast("double"), [F.col("p")[i] for i in range(k)]
+
+    def shift(x: np.ndarray) -> Column:
+        return sum((p[i] * float(v) for i, v in enumerate(x @ rows)), F.lit(0.0))
+
+    def look(x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, bool]:
+        moved = start - shift(x)
+        rate = F.greatest(F.lit(lower), moved)
+        free = F.when(moved >= lower, tokens).otherwise(0.0)
+        got = base.agg(
+            F.sum(tokens * (rate - start) * (rate - start)).alias("d"), F.min(F.when(tokens > 0, shift(x))).alias("m"),
+            *[F.sum(rate * tokens * p[i]).alias(f"t{i}") for i in range(k)],
+            *[F.sum(free * p[i] * p[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)],
+            *[F.sum(tokens * p[i]).alias(f"n{i}") for i in range(k)],
+        ).first()
+        rest = rows @ np.array([got[f"t{i}"] for i in range(k)]) - goal
+        gram = rows @ np.array([[got[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) @ rows.T
+        # Every row can only be moved away from what is missing.
+        hopeless = got.m >= 0 and x @ (goal - lower * rows @ np.array([got[f"n{i}"] for i in range(k)])) < 0
+        return got.d / 2 + x @ rest, rest, gram, hopeless
+
+    x = np.zeros(len(rows))
+    value, rest, gram, hopeless = look(x)
+    whole, looks, part = gram, 1, 1.0
+    while np.abs(rest).max() > CLOSE * scale and looks < LOOKS and not hopeless and part > 1e-9:
+        # A little of the first matrix, so that a set of few free rows still gives a direction.
+        matrix = gram + 1e-7 * whole
+        size = np.sqrt(np.maximum(np.diag(matrix), 1e-300))
+        way = np.linalg.pinv(matrix / size / size[:, None], rcond=1e-12, hermitian=True) @ (rest / size) / size
+        slope, part = way @ rest, 1.0
+        if slope <= 0:
+            break
+        while looks < LOOKS and part > 1e-9:
+            looks += 1
+            then = look(x + part * way)
+            if then[0] >= value + 1e-4 * part * slope or np.abs(then[1]).max() <= np.abs(rest).max() / 2:
+                x = x + part * way
+                value, rest, gram, hopeless = then
+                break
+            part /= 4
+    return F.greatest(F.lit(lower), start - shift(x)), float(np.abs(rest).max() / scale)
+
+
+def whole_rates(base: DataFrame, targets: dict[str, float], model: Classifier) -> Column:
+    """Rates of 1 and more, nearest to 1, for which the expected tokens of the domains are in the ratio of the targets.
+
+    Left out of the targets, with a warning: domains that no text was learnt from (while others were) or that no
+    document is most likely of, domains of weight zero, and where no rates meet the targets, the domain whose share is
+    furthest out of reach of the likeliest document, until they do. Documents of such domains stay, too."""
+    k = len(model.domains)
+    tokens, p = F.col("n_tokens").cast("double"), [F.col("p")[i] for i in range(k)]
+    first = base.where("n_tokens > 0").agg(
+        F.sum(tokens).alias("n"), *[F.max(p[i]).alias(f"m{i}") for i in range(k)],
+        *[F.max(p[i] >= F.array_max("p")).alias(f"l{i}") for i in range(k)],
+    ).first()
+    if not first.n:
+        return F.lit(1.0)
+    weight = np.array([targets[d] for d in model.domains], float)
+    kept = [i for i in range(k) if weight[i] > 0 and first[f"l{i}"] and (model.learnt[i] or not any(model.learnt))]
+    rate = F.lit(1.0)
+    while len(kept) > 1:
+        share = weight[kept] / weight[kept].sum()
+        rows = np.zeros((len(kept), k))
+        rows[:, kept] = np.eye(len(kept)) - share[:, None]
+        rate, missing = _meet(base, F.lit(1.0), 1.0, rows, np.zeros(len(kept)), float(first.n))
+        if missing <= 1e-6:
+            break
+        rate = F.lit(1.0)
+        kept.remove(min(kept, key=lambda i: first[f"m{i}"] / weight[i]))
+    if len(kept) < k:
+        warnings.warn("mixing: left out of the targets: " + ", ".join(d for i, d in enumerate(model.domains) if i not in kept), stacklevel=2)
+    return rate
+
+
 def copies(rate: Column, doc_id: Column) -> Column:
     """How often a document is taken: its rate rounded up or down by a hash of its doc_id, so that the mean is the rate."""
     luck = F.pmod(F.xxhash64(doc_id, F.lit("mixing")), F.lit(1 << 52)) / F.lit(float(1 << 52))
@@ -183,11 +267,9 @@ def prepared(docs: DataFrame, labels: DataFrame, targets: dict[str, float]) -> t
 def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float]) -> DataFrame:
     """The mixture itself: rows of docs, all columns, each as often as its copies say.
 
-    The total is raised until the least rate is 1, so that no document leaves, unless some rate is 0."""
+    No document leaves: no rate is under 1. See whole_rates() for domains that the documents lack."""
     base, model = prepared(docs, labels, targets)
-    rate = rates(base, targets, model.domains)
-    least = base.where("n_tokens > 0").agg(F.min(rate).alias("r")).first().r
-    scale = 1 / least if least else 1.0
+    rate = whole_rates(base, targets, model)
     k = len(model.domains)
     at = docs.columns.index("text")
 
@@ -200,5 +282,5 @@ def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float]) -> D
 
     schema = StructType([*docs.schema.fields]).add("__p", ArrayType(DoubleType()))
     scored = docs.mapInArrow(run, schema).withColumnRenamed("__p", "p")
-    n = F.greatest(F.lit(1 if least else 0), copies(rate * F.lit(float(scale)), F.col("doc_id"))).cast("int")
+    n = copies(rate, F.col("doc_id")).cast("int")
     return scored.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), n)).alias("__copy")).drop("__copy")

@@ -59,6 +59,27 @@ def test_resample_keeps_every_document(docs):
     assert got.count() > docs.count()
 
 
+@pytest.mark.filterwarnings("ignore:mixing")
+@pytest.mark.parametrize("gone", ["c", "b"])
+def test_resample_without_a_target_language(spark, docs, gone):
+    """Also texts between two languages, short ones and junk stay; the languages that are there have their ratio."""
+    rng = random.Random(3)
+    rows = [(r.doc_id, r.text, r.domain) for r in docs.where(f"domain is null or domain <> '{gone}'").collect()]
+    rows += [(1000 + i, " ".join(rng.choices(WORDS["a"] + WORDS["b"] + WORDS["c"], k=rng.randint(1, 40))), None) for i in range(200)]
+    rows += [(2000 + i, "".join(rng.choices("0123456789#%&", k=50)), None) for i in range(20)]
+    some = spark.createDataFrame(rows, "doc_id long, text string, domain string")
+    targets = {"a": 0.05, "b": 0.8, "c": 0.15}
+    out = mixing.resample(some, some, targets)
+    assert {r.doc_id for r in out.collect()} == {r[0] for r in rows}
+    base, model = mixing.prepared(some, some, targets)
+    got = base.withColumn("r", mixing.whole_rates(base, targets, model)).toPandas()
+    assert got.r.min() >= 1
+    reached = (np.array(got.p.tolist()) * (got.r * got.n_tokens).to_numpy()[:, None]).sum(0)
+    there = [i for i, d in enumerate("abc") if d != gone]
+    want = np.array([targets["abc"[i]] for i in there])
+    assert np.allclose(reached[there] / reached[there].sum(), want / want.sum(), atol=1e-6)
+
+
 def test_empty(docs):
     none = docs.where("false")
     assert mixing.mix(none, docs, {"a": 1.0, "b": 1.0}).collect() == []
