@@ -14,10 +14,12 @@ import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 # Fixed values of the public format: order in which code lengths of code lengths are stored, and the neighbours that
 # distance codes 1 to 120 stand for, as (columns left, rows up).
@@ -37,6 +39,9 @@ SIGNATURE, LITERALS, LENGTHS, DISTANCES, SIDE = 0x2F, 256, 24, 40, 16384
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 BLACK, CACHE_FACTOR = 0xFF000000, 0x1E35A7BD
 FRAME = 1 << 26  #: payload bytes in one image at most
+STRETCH = 1 << 14  #: bytes of the stream looked at together
+WIDE, SMALL, BLOCK = 1024, 4096, 9  #: width from which images get higher than wide; bytes from which there are blocks, and their side's log
+SAME, COPY = 8, 4096  #: equal bytes from which a back-reference is written; pixels in one at most
 
 
 class Bits:
@@ -153,6 +158,8 @@ def _decode_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarra
     green, red, blue, alpha, _ = codes[0]
     if groups == 1 and all(c.uniform for c in (green, red, blue, alpha)) and green.symbols[-1] < LITERALS:
         return _fixed_width(bits, total, (green, red, blue, alpha)).reshape(height, width)
+    if groups == 1 and not cache_bits:
+        return _one_group(bits, width, total, codes[0]).reshape(height, width)
     out, cache = [0] * total, [0] * cache_size
     at = 0
 
@@ -211,6 +218,113 @@ def _fixed_width(bits: Bits, n: int, codes: tuple[Code, ...]) -> np.ndarray:
     return pixel
 
 
+def _lookup(code: Code) -> tuple[np.ndarray, np.ndarray]:
+    """Symbol and number of bits by the next bits of the stream, the first one lowest."""
+    n = code.width
+    symbols = np.zeros(1 << n, np.int32)
+    taken = np.zeros(1 << n, np.int32)
+    spans = np.left_shift(1, n - code.lengths)
+    symbols[:], taken[:] = np.repeat(code.symbols, spans), np.repeat(code.lengths, spans)
+    turned = np.zeros(1 << n, np.int64)
+    for i in range(n):
+        turned |= (np.arange(1 << n) >> i & 1) << (n - 1 - i)
+    return symbols[turned], taken[turned]
+
+
+def _one_group(bits: Bits, width: int, total: int, codes: list[Code]) -> np.ndarray:
+    """Pixels of an image with one group of codes and no colour cache.
+
+    In a stretch of the stream every bit position is looked up as if a pixel or reference began there; then the positions
+    where one does are followed from the first, and the pixels between references are taken as arrays."""
+    tables = [(_lookup(c), (1 << c.width) - 1) for c in codes]
+    (green, green_n), green_mask = tables[0]
+    # Extra bits and base of a length's or distance's prefix.
+    prefix = np.arange(DISTANCES)
+    extra = np.maximum(0, (prefix - 2) >> 1)
+    base = np.where(prefix < 4, prefix + 1, ((2 + (prefix & 1)) << extra) + 1)
+    out, at = np.zeros(total, np.uint32), 0
+    data = np.frombuffer(bits.data, np.uint8)
+    while at < total:
+        first = bits.at >> 3
+        reach = max(1, min(STRETCH, len(data) - first, 8 * (total - at) + 8))
+        raw = np.zeros(reach + 32, np.uint8)
+        part = data[first : first + reach + 32]
+        raw[: len(part)] = part
+        wide = np.ndarray((reach + 24,), "<u8", raw, strides=(1,))
+        window = lambda pos: (wide[pos >> 3] >> (pos & 7).astype(np.uint64)).astype(np.int64)
+        # At every position the next 32 bits.
+        ahead = (wide[:reach, None] >> np.arange(8, dtype=np.uint64)).ravel().astype(np.uint32)
+        k = ahead & np.uint32(green_mask)
+        symbol, step = green[k], green_n[k]
+        literal = symbol < LITERALS
+        if all(c.width == 0 for c in codes[1:4]):
+            pixel = np.uint32(int(codes[1].symbols[0]) << 16 | int(codes[2].symbols[0]) | int(codes[3].symbols[0]) << 24)
+        else:
+            pos = np.arange(8 * reach)
+            pixel, end = np.zeros(8 * reach, np.uint32), pos + step
+            for ((table, n), mask), shift in zip(tables[1:4], (16, 0, 24), strict=True):
+                k = window(end) & mask
+                pixel |= table[k].astype(np.uint32) << np.uint32(shift)
+                end += n[k]
+            step = np.where(literal, end - pos, step)
+        refs = np.flatnonzero(~literal)
+        length = distance = np.zeros(0, int)
+        if len(refs):
+            kind = symbol[refs] - LITERALS
+            end = refs + green_n[ahead[refs] & np.uint32(green_mask)]
+            length = base[kind] + (window(end) & ((1 << extra[kind]) - 1))
+            end += extra[kind]
+            ((table, n), mask) = tables[4]
+            k = window(end) & mask
+            kind = table[k]
+            end += n[k]
+            distance = base[kind] + (window(end) & ((1 << extra[kind]) - 1))
+            step[refs] = end + extra[kind] - refs
+        # Where tokens begin, until the stretch or the image ends.
+        begin, stop, chain = bits.at & 7, 8 * reach, []
+        here, steps, add = begin, step.tolist(), chain.append
+        if not any(steps):  # every pixel is the same and takes no bits
+            if not literal[0]:
+                raise ValueError("a back-reference outside the image")
+            out[at:] = np.uint32(symbol[0] << 8) | pixel.ravel()[0]
+            return out
+        left = total - at
+        while here < stop:
+            add(here)
+            here += steps[here]
+        chain = np.array(chain)
+        whole = literal[chain]
+        place = np.searchsorted(refs, chain[~whole])
+        size = np.ones(len(chain), np.int64)
+        size[~whole] = length[place]
+        ends = np.cumsum(size)
+        used = min(len(chain), int(np.searchsorted(ends, left)) + 1)
+        chain, ends, size, whole = chain[:used], ends[:used], size[:used], whole[:used]
+        bits.at = 8 * first + int(chain[-1] + step[chain[-1]])
+        if bits.at > 8 * len(bits.data):
+            raise ValueError("the image ends too early")
+        if ends[-1] > left:
+            raise ValueError("a back-reference outside the image")
+        starts = at + ends - size
+        plain = chain[whole]
+        out[starts[whole]] = symbol[plain].astype(np.uint32) << np.uint32(8) | (pixel[plain] if pixel.ndim else pixel)
+        place = place[: used - int(whole.sum())]
+        for a, n, d in zip(starts[~whole].tolist(), length[place].tolist(), distance[place].tolist(), strict=True):
+            if d > len(NEIGHBOURS):
+                d -= len(NEIGHBOURS)
+            else:
+                x, y = NEIGHBOURS[d - 1]
+                d = max(1, x + y * width)
+            if d > a:
+                raise ValueError("a back-reference outside the image")
+            if d >= n:
+                out[a : a + n] = out[a - d : a - d + n]
+            else:
+                out[a : a + n] = np.resize(out[a - d : a], n)
+        at += int(ends[-1])
+    return out
+
+
 # Channels are int arrays of (..., 4) in the order alpha, red, green, blue.
 def _channels(pixels: np.ndarray) -> np.ndarray:
     return np.stack([pixels >> np.uint32(s) & np.uint32(255) for s in (24, 16, 8, 0)], -1).astype(np.int32)
@@ -409,13 +523,17 @@ def _lengths(counts: Counter, alphabet: int, limit: int) -> np.ndarray:
         lengths[next(iter(weights))] = 1
         return lengths
     while True:
-        heap = [(c, s, (s,)) for s, c in weights.items()]
+        heap = [(c, s, i) for i, (s, c) in enumerate(weights.items())]
         heapq.heapify(heap)
-        lengths[:] = 0
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            lengths[list(a[2] + b[2])] += 1
-            heapq.heappush(heap, (a[0] + b[0], min(a[1], b[1]), a[2] + b[2]))
+        parents = [0] * (2 * len(heap) - 1)
+        for node in range(len(heap), len(parents)):
+            a, b = heapq.heappop(heap), heap[0]
+            parents[a[2]] = parents[b[2]] = node
+            heapq.heapreplace(heap, (a[0] + b[0], min(a[1], b[1]), node))
+        depths = [0] * len(parents)
+        for node in range(len(parents) - 2, -1, -1):
+            depths[node] = depths[parents[node]] + 1
+        lengths[list(weights)] = depths[: len(weights)]
         if lengths.max() <= limit:
             return lengths
         weights = {s: (c + 1) // 2 for s, c in weights.items()}
@@ -438,8 +556,9 @@ def _write_code(w: Writer, lengths: np.ndarray) -> None:
             w.put(used[1], 8)
         return
     tokens, at, previous = [], 0, 8
+    lengths = lengths.tolist()
     while at < len(lengths):
-        v, run = int(lengths[at]), 1
+        v, run = lengths[at], 1
         while at + run < len(lengths) and lengths[at + run] == v:
             run += 1
         if v == 0 and run >= 3:
@@ -599,52 +718,134 @@ def encode(pixels: np.ndarray, predictor: np.ndarray | None = None, cross: np.nd
     return riff((b"VP8L", w.done()))
 
 
+def _repeats(values: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, length, distance) of back-references, in order and apart: runs of SAME bytes and more that occur before."""
+    n = len(values) - SAME + 1
+    if n < 2:
+        return []
+    keys = np.ndarray((n,), "<u8", np.ascontiguousarray(values), strides=(1,)).copy()
+    order = np.argsort(keys, kind="stable")
+    again = np.flatnonzero(keys[order[1:]] == keys[order[:-1]])
+    back = np.zeros(n + 1, np.int64)
+    back[order[again + 1]] = order[again + 1] - order[again]
+    back[back > (1 << 20) - len(NEIGHBOURS)] = 0
+    edges = np.flatnonzero(np.diff(back, prepend=0))
+    found, at = [], 0
+    for first, last, d in zip(edges[:-1].tolist(), edges[1:].tolist(), back[edges[:-1]].tolist(), strict=True):
+        if d:
+            first, end = max(first, at), last + SAME - 1
+            while end - first >= SAME:
+                n = min(end - first, COPY)
+                found.append((first, n, d))
+                at = first = first + n
+    return found
+
+
+@cache
+def _near(width: int) -> dict[int, int]:
+    return {max(1, x + y * width): i + 1 for i, (x, y) in reversed(list(enumerate(NEIGHBOURS)))}
+
+
+def _prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """_prefix() of many values."""
+    v = values - 1
+    high = np.frexp(np.maximum(v, 1).astype(float))[1].astype(np.int64) - 1
+    n = np.where(v < 4, 0, high - 1)
+    return np.where(v < 4, v, 2 * high + (v >> np.maximum(0, high - 1) & 1)), np.where(v < 4, 0, v & ((1 << np.maximum(0, n)) - 1)), n
+
+
+def _write_green(w: Writer, green: np.ndarray, width: int, alpha: int) -> None:
+    """An image whose only changing channel is green, with prefix codes of its own and back-references."""
+    w.put(0, 2)  # no colour cache, one group
+    copied = np.array(_repeats(green), np.int64).reshape(-1, 3)
+    starts, lengths = copied[:, 0], copied[:, 1]
+    near = _near(width)
+    (a, a_extra, a_n), (b, b_extra, b_n) = _prefixes(lengths), _prefixes(np.array([near.get(d, d + len(NEIGHBOURS)) for d in copied[:, 2].tolist()], np.int64))
+    inside = np.zeros(len(green) + 1, np.int64)
+    inside[starts] += 1
+    inside[starts + lengths] -= 1
+    literal = np.cumsum(inside)[:-1] == 0
+    symbol = green.astype(np.int64)
+    symbol[starts] = LITERALS + a
+    literal[starts] = True
+    made = []
+    for used, alphabet in ((symbol[literal], LITERALS + LENGTHS), ([0], 256), ([0], 256), ([alpha], 256), (b, DISTANCES)):
+        counts = np.bincount(used, minlength=alphabet)
+        made.append(_lengths(Counter({int(k): int(counts[k]) for k in np.flatnonzero(counts)}), alphabet, 15))
+        _write_code(w, made[-1])
+    (pattern, size), (far_pattern, far_size) = (_pattern_table(made[i]) for i in (0, 4))
+    value, n = pattern[symbol], size[symbol] * literal
+    bits = n[starts]
+    more = value[starts]
+    for v, m in ((a_extra, a_n), (far_pattern[b], far_size[b]), (b_extra, b_n)):
+        more = more | v << bits
+        bits = bits + m
+    value[starts], n[starts] = more, bits
+    end = np.cumsum(n)
+    place = np.arange(int(end[-1])) - np.repeat(end - n, n)
+    if len(place):
+        flags = (np.repeat(value, n) >> place & 1).astype(np.uint8)
+        head = -w.n % 8
+        for bit in flags[:head].tolist():
+            w.put(bit, 1)
+        if len(flags) > head:
+            w.flags(flags[head:])
+
+
+def _pattern_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    pattern, size = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+    for s, (bits, n) in _bit_patterns(lengths).items():
+        pattern[s], size[s] = bits, n
+    return pattern, size
+
+
+def _entropy(values: np.ndarray) -> float:
+    counts = np.bincount(values.ravel(), minlength=256)
+    counts = counts[counts > 0]
+    return float((counts * np.log2(counts.sum() / counts)).sum())
+
+
 def encode_samples(payload: bytes) -> bytes:
-    """One grey image: a pixel for each byte, green as stored, red and blue restored by the subtract-green transform.
-    The bytes that occur, and as many more as make a power of two, have codes of one length."""
+    """One grey image, a pixel for each byte, with prefix codes and back-references. Few colours are a palette, several
+    to a byte; of SMALL bytes and more red and blue are taken off by the cross-colour transform, from what the predictor
+    leaves, whose mode is the cheapest for each block; of fewer bytes by subtract-green."""
     values = np.frombuffer(payload, np.uint8)
     width = 64
-    while -(-len(values) // width) > SIDE:
+    while -(-len(values) // width) > (SIDE if width >= WIDE else width):
         width *= 2
     height = -(-len(values) // width)
-    seen = np.bincount(values, minlength=256)
-    if width * height > len(values):
-        seen[0] += 1
-    depth = max(0, int(np.count_nonzero(seen)) - 1).bit_length()
+    grey = np.zeros((height, width), np.uint8)
+    grey.ravel()[: len(values)] = values
     w = _start(width, height, False)
-    w.put(1 | SUBTRACT_GREEN << 1, 3)
+    colours = np.flatnonzero(np.bincount(grey.ravel(), minlength=256))
+    alpha = 255
+    if len(colours) <= 16:
+        n = _palette_bits(len(colours))
+        w.put(1 | PALETTE << 1, 3)
+        w.put(len(colours) - 1, 8)
+        table = np.uint32(BLACK) | colours.astype(np.uint32) * np.uint32(0x010101)
+        _write_pixels(w, _packed(np.diff(_channels(table), axis=0, prepend=0))[None, :], False)
+        per, depth = 1 << n, 8 >> n
+        index = np.searchsorted(colours, grey).reshape(height, -1, per)
+        grey = (index << (np.arange(per) * depth)).sum(-1).astype(np.uint8)
+    elif len(values) >= SMALL:
+        left, top = np.diff(grey, axis=1, prepend=np.uint8(0)), np.diff(grey, axis=0, prepend=np.uint8(0))
+        rest, modes = grey.copy(), np.zeros((_up(height, BLOCK), _up(width, BLOCK)), np.uint32)
+        for (y, x), _ in np.ndenumerate(modes):
+            block = np.s_[y << BLOCK : (y + 1) << BLOCK, x << BLOCK : (x + 1) << BLOCK]
+            modes[y, x], rest[block] = min(((m, g[block]) for m, g in enumerate((grey, left, top))), key=lambda c: _entropy(c[1]))
+        rest[0], rest[1:, 0], rest[0, 0] = left[0], top[1:, 0], grey[0, 0]
+        grey, alpha = rest, 0
+        w.put(1 | PREDICTOR << 1, 3)
+        w.put(BLOCK - 2, 3)
+        _write_pixels(w, modes << np.uint32(8) | np.uint32(BLACK), False)
+        w.put(1 | CROSS_COLOUR << 1, 3)
+        w.put(BLOCK - 2, 3)
+        _write_pixels(w, np.full(modes.shape, 0xFF002020, np.uint32), False)  # all of green off red and off blue
+    else:
+        w.put(1 | SUBTRACT_GREEN << 1, 3)
     w.put(0, 1)  # no further transform
-    w.put(0, 2)  # no colour cache, one group
-    kept = seen > 0
-    kept[np.flatnonzero(~kept)[: (1 << depth) - int(kept.sum())]] = True
-    lengths = np.zeros(LITERALS + LENGTHS, int)
-    lengths[:256][kept] = max(1, depth)
-    if depth < 2:
-        _write_code(w, lengths)
-    else:  # each length is one bit: 0 or depth
-        w.put(0, 1)
-        stored = CODE_LENGTH_ORDER.index(depth) + 1
-        w.put(max(4, stored) - 4, 4)
-        for k in CODE_LENGTH_ORDER[: max(4, stored)]:
-            w.put(int(k in (0, depth)), 3)
-        w.put(0, 1)
-        w.put(int.from_bytes(np.packbits(lengths > 0, bitorder="little").tobytes(), "little"), len(lengths))
-    for only in (0, 0, 255, 0):  # red, blue, alpha, distance
-        _write_code(w, np.eye(1, 256, only, dtype=int)[0])
-    number = np.zeros(256, np.uint8)
-    number[kept] = np.arange(int(kept.sum()))
-    code = number[values]
-    if width * height > len(values):
-        code = np.append(code, np.full(width * height - len(values), number[0], np.uint8))
-    if depth:
-        # To a byte's boundary bit by bit, the rest as an array.
-        bits = np.unpackbits(code[:, None], axis=1, count=8)[:, 8 - depth :].ravel()
-        first = -w.n % 8
-        if first:
-            head = bits[:first]
-            w.put(int.from_bytes(np.packbits(head, bitorder="little").tobytes(), "little"), len(head))
-            bits = bits[first:]
-        w.flags(bits)
+    _write_green(w, grey.ravel(), grey.shape[1], alpha)
     return riff((b"VP8L", w.done()), (b"SIZE", struct.pack("<Q", len(values))))
 
 
@@ -709,3 +910,25 @@ def media(docs: DataFrame, with_media: bool = False) -> DataFrame:
     sql = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
     schema = f"doc_id {kind}, " + ", ".join(f"{k} {sql[v]}" for k, v in fields.items())
     return docs.select("doc_id", docs["text"].cast("binary").alias("text")).mapInArrow(run, schema)
+
+
+def pixels(files: DataFrame, column: str = "media") -> DataFrame:
+    """files and width, height, pixels (row by row, ARGB in the bits of an int) of the lossless WebP files in the column.
+
+    Any encoder's files are read. A null gives nulls; what is no lossless WebP file raises ValueError."""
+    at = files.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):  # a row at a time, since images can be large
+                data = b.column(at)[i].as_py()
+                p = None if data is None else decode(data)
+                row = b.slice(i, 1)
+                for name, size in (("width", 1), ("height", 0)):
+                    row = row.append_column(name, pa.array([None if p is None else p.shape[size]], pa.int32()))
+                flat = pa.nulls(1, pa.list_(pa.int32())) if p is None else pa.ListArray.from_arrays(pa.array([0, p.size], pa.int32()), pa.array(p.ravel().view(np.int32)))
+                yield row.append_column("pixels", flat)
+
+    kind = IntegerType()
+    schema = StructType([*files.schema.fields]).add("width", kind).add("height", kind).add("pixels", ArrayType(kind))
+    return files.mapInArrow(run, schema)

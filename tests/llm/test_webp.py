@@ -110,3 +110,49 @@ def test_frame(spark):
         assert r.payload_sha256 == hashlib.sha256(want).hexdigest() and r.tail_crc32 == zlib.crc32(want[-64:])
     assert got[3][1:] == got[5][1:] and got[1][1:] == got[2][1:]
     assert webp.media(docs.where("false")).collect() == []
+
+
+def test_column_of_files(spark):
+    """Files with any transform, cache, groups; also null."""
+    rng = np.random.default_rng(7)
+    shape = (webp._up(23, 2), webp._up(37, 2))
+    images = [picture(rng), picture(rng), picture(rng, colours=3), picture(rng)]
+    modes, cross = rng.integers(0, 14, shape), rng.integers(0, 1 << 32, shape, dtype=np.uint32)
+    data = [
+        webp.encode(images[0], predictor=modes, cross=cross, green=True, references=True, cache_bits=6),
+        webp.encode(images[1], groups=rng.integers(0, 3, shape), references=True),
+        webp.encode(images[2], palette=True, references=True), webp.encode(images[3]), None,
+    ]
+    files = spark.createDataFrame([(i, bytearray(x) if x else None) for i, x in enumerate(data)], "k int, media binary")
+    got = {r.k: r for r in webp.pixels(files).collect()}
+    for i, p in enumerate(images):
+        assert (got[i].height, got[i].width) == p.shape
+        assert (np.array(got[i].pixels, np.int32).view(np.uint32) == p.ravel()).all()
+    assert got[4].pixels is None and got[4].width is None
+
+
+def test_stored_images_use_the_format(monkeypatch):
+    """Stored texts have codes of several lengths, back-references and, between them, all four transforms."""
+    rng = np.random.default_rng(8)
+    words = [bytes(rng.integers(97, 123, rng.integers(2, 9)).astype(np.uint8)) for _ in range(300)]
+    texts = [b" ".join(words[i] for i in rng.zipf(1.3, n) % 300) for n in (100, 5000, 60_000)] + [b"0110" * 100 + b"1"]
+    kinds, references, lengths = set(), 0, set()
+    undo, cross, green = webp._undo_predictor, webp._cross_colour, webp._green
+    monkeypatch.setattr(webp, "_undo_predictor", lambda *a: (kinds.add("predictor"), undo(*a))[1])
+    monkeypatch.setattr(webp, "_cross_colour", lambda *a: (kinds.add("cross"), cross(*a))[1])
+    monkeypatch.setattr(webp, "_green", lambda *a: (kinds.add("green"), green(*a))[1])
+    read = webp._read_code
+
+    def look(bits, alphabet):
+        nonlocal references
+        code = read(bits, alphabet)
+        lengths.add(len(set(code.lengths.tolist())))
+        references += alphabet == 280 and code.symbols.max() >= 256
+        return code
+
+    monkeypatch.setattr(webp, "_read_code", look)
+    for t in texts:
+        assert webp.load(webp.store(webp.pad(t))).tobytes() == webp.pad(t)
+        kinds |= {"palette"} if len(set(webp.pad(t))) <= 16 else set()
+    assert kinds == {"predictor", "cross", "green", "palette"} and references >= 3 and max(lengths) > 3
+    assert len(webp.store(webp.pad(texts[2]))) < len(texts[2]) / 2
