@@ -3,8 +3,8 @@
 A window is WINDOW consecutive words. Of the hashes of the sub-windows of SUB words that a window holds, the least
 stands for the window: equal windows have equal least hashes, and neighbours mostly share one, so about one hash in
 twelve words is kept. Each batch of documents is written as a run: its hashes sorted, counted, never changed. Runs are
-compacted into one when there are several, and every batch is merge-joined with the index: windows whose hash occurs
-once only are done. The others are verified: a 128-bit BLAKE2 digest of the window's very words must occur again.
+compacted into one when there are several, and when all batches are in, the whole table is merge-joined with the index
+(nothing is deduplicated against an earlier index): windows whose hash occurs once only are done. The others are verified: a 128-bit BLAKE2 digest of the window's very words must occur again.
 Documents that are copies as a whole are represented by one of them.
 """
 
