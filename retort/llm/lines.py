@@ -2,15 +2,19 @@
 
 A line is compared in lower case with single blanks. Equal lines have equal 128-bit hashes and count as one from then
 on. Lines of SHINGLE characters or more get a signature of BANDS x ROWS minima over hashed character shingles; lines
-that agree in a band meet in a bucket. In each bucket all lines are compared with a pivot, the most frequent one first;
-a pair links if the exact Jaccard similarity of its shingle sets is SIMILARITY or more. In buckets whose lines aren't
-all in one component yet, lines outside the first one's component are pivots, more in each round, until every pair
-across components has been compared. So no link that the bands show is lost, and a large group of variants costs little
-once its centre has been a pivot.
+that agree in a band meet in a bucket (a shorter line is its own only shingle, so it is similar to equal lines alone).
+A pair links if the exact Jaccard similarity of its shingle sets is SIMILARITY or more.
+
+Each bucket has a leader, its most frequent line, and every line of the bucket is compared with it: linear work. Lines
+that are similar to the leader are in one component already, so only pairs with a line that isn't are left. They are
+found from what each line differs in from the leader, which is little: two lines are similar if and only if their
+differences differ little enough, so a line meets others through the shingles that set them off, counted exactly. No
+pairs are made as rows, no link is lost, and a large group is split in parts, every two of which are one task.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -25,17 +29,26 @@ from .shared import connected, n_tasks, remove_staged, staged
 SHINGLE, SIMILARITY = 8, 0.8
 BANDS, ROWS = 10, 4  #: a pair at the threshold meets with probability 1 - (1 - 0.8 ** 4) ** 10 = 0.995
 SLICE = 1 << 16  #: characters of lines whose signatures are computed together, while they are in the cache
-HELD = 2_000_000  #: shingles of lines that a task remembers while it compares pairs
-FILTER_BITS = 24  #: logarithm of the size of the filter through which line texts are fetched: 2 MB
+FILTER_BITS = (20, 27)  #: least and greatest logarithm of the size of the filter through which line texts are fetched
+HOT = 256  #: lines of one batch in one bucket from which its entries are dealt over all tasks
+TASK = 1 << 25  #: bytes of bucket entries in one task
+GROUP, BYTES = 2048, 1 << 24  #: lines, and bytes of what they differ in, in a part of a group
+_ALL = (1 << 64) - 1
 
 
 def normal(line: str) -> str:
     """In lower case, with single blanks between words and none around."""
-    if "  " not in line and line.isprintable():  # no white space but single blanks
-        return line.lower().strip()
     return " ".join(line.lower().split())
 
 
+def normals(text: str) -> list[str]:
+    """The lines of a text, normal."""
+    found = text.lower().split("\n")
+    if "  " not in text and all(map(str.isprintable, found)):  # no white space but single blanks
+        return list(map(str.strip, found))
+    return [" ".join(x.split()) for x in found]
+
+
 def shingles(line: str) -> set[str]:
     return {line[i : i + SHINGLE] for i in range(len(line) - SHINGLE + 1)}
 
@@ -63,7 +76,7 @@ def common(a: np.ndarray | set[str], b: np.ndarray | set[str]) -> int:
 
 def _ids(lines: list[str]) -> np.ndarray:
     """128-bit hashes as two columns."""
-    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(x.encode()) for x in lines]), np.int64).reshape(-1, 2)
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, lines)), np.int64).reshape(-1, 2)
 
 
 @cache
@@ -111,13 +124,14 @@ def band_keys(lines: list[str]) -> np.ndarray:
     return out
 
 
-_ENTRY = np.dtype([("key", "<u8"), ("h0", "<i8")])
+_ENTRY = np.dtype([("key", "<u8"), ("h0", "<i8"), ("n", "<u4")])
 
 
-def _fresh(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-    """Distinct normal lines that are long enough for shingles, and their hashes."""
-    lines = list(dict.fromkeys(s for t in texts if t for x in t.split("\n") if len(s := normal(x)) >= SHINGLE))
-    return lines, _ids(lines)
+def _fresh(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct normal lines that are long enough for shingles, their hashes, and how often they occur."""
+    found = Counter([x for t in texts if t for x in normals(t) if len(x) >= SHINGLE])
+    lines = list(found)
+    return lines, _ids(lines), np.fromiter(found.values(), np.uint32, len(lines))
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -128,7 +142,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
         for b in batches:
             lines, ends = [], [0]
             for t in b.column(2).to_pylist():
-                lines += [normal(x) for x in t.split("\n")] if t else []
+                lines += normals(t) if t else []
                 ends.append(len(lines))
             ids = _ids(lines)
             blank = pa.array(np.array([not x for x in lines], bool))
@@ -140,169 +154,223 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 
 def buckets(docs: DataFrame, parts: int) -> DataFrame:
-    """(key, h0): members of the buckets that hold two lines or more."""
+    """(key, h0, n): members of at least all buckets that hold two lines or more, and how often they occur; repeats possible.
+
+    The entries of a bucket that is crowded in a batch go to all tasks; one of them also goes where the bucket belongs,
+    so that a line which is alone there isn't taken for the only one."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng = np.random.default_rng(7)
         for b in batches:
-            lines, ids = _fresh(b.column(0).to_pylist())
+            lines, ids, n = _fresh(b.column(0).to_pylist())
             entries = np.empty((len(lines), BANDS), _ENTRY)
-            entries["key"], entries["h0"] = band_keys(lines), ids[:, :1]
+            entries["key"], entries["h0"], entries["n"] = band_keys(lines), ids[:, :1], n[:, None]
             entries = entries.ravel()
-            part = (entries["key"] >> np.uint64(20)) % np.uint64(parts)
-            order = np.argsort(part, kind="stable")
-            keys, begin = np.unique(part[order], return_index=True)
-            blobs = np.split(entries[order], begin[1:])
-            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array([x.tobytes() for x in blobs][: len(keys)], pa.binary())], names=["part", "entries"])
+            entries = entries[np.argsort(entries["key"])]
+            key = entries["key"]
+            part = ((key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+            size = np.diff(first, append=len(key))
+            crowded = np.repeat(size > HOT, size)
+            dealt = np.flatnonzero(crowded)
+            salted = rng.integers(0, parts, len(dealt))
+            crowded[first[size > HOT]] = False
+            order = np.argsort(salted, kind="stable")
+            for mixed, at, of in ((False, np.flatnonzero(~crowded), None), (True, dealt[order], salted[order])):
+                of = part[at] if of is None else of
+                keys, begin = np.unique(of, return_index=True)
+                blobs = np.split(entries[at], begin[1:]) if len(keys) else []
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([x.tobytes() for x in blobs], pa.binary()), pa.array([mixed] * len(keys), pa.bool_())], names=["part", "entries", "mixed"])
 
     def meet(t: pa.Table) -> pa.Table:
-        e = np.frombuffer(b"".join(t.column("entries").to_pylist()), _ENTRY)
-        order = np.lexsort((e["h0"], e["key"]))
-        key, h0 = e["key"][order], e["h0"][order]
-        new = np.append(True, (key[1:] != key[:-1]) | (h0[1:] != h0[:-1]))[: len(key)]
-        key, h0 = key[new], h0[new]
-        same = key[1:] == key[:-1]
-        held = np.append(same, False)[: len(key)] | np.append(False, same)[: len(key)]
-        return pa.table({"key": key[held].view(np.int64), "h0": h0[held]})
-
-    return docs.select("text").mapInArrow(spread, "part long, entries binary").groupBy("part").applyInArrow(meet, "key long, h0 long")
+        blobs, mixed = t.column("entries").to_pylist(), t.column("mixed").to_pylist()
+        e = np.frombuffer(b"".join([x for x, m in zip(blobs, mixed, strict=True) if not m]), _ENTRY)
+        e = e[np.argsort(e["key"])]
+        same = e["key"][1:] == e["key"][:-1]
+        # Buckets with entries of one line only, from several batches, fall away too.
+        first = np.flatnonzero(np.append(True, ~same)[: len(e)])
+        if len(e):
+            size = np.diff(first, append=len(e))
+            several = np.minimum.reduceat(e["h0"], first) < np.maximum.reduceat(e["h0"], first)
+            crowd = np.frombuffer(b"".join([x for x, m in zip(blobs, mixed, strict=True) if m]), _ENTRY)
+            e = np.concatenate([e[np.repeat(several | (size > 1) & np.isin(e["key"][first], crowd["key"]), size)], crowd])
+        else:
+            e = np.frombuffer(b"".join(blobs), _ENTRY)
+        e = e[np.lexsort((e["h0"], e["key"]))]
+        first = np.flatnonzero(np.append(True, (e["key"][1:] != e["key"][:-1]) | (e["h0"][1:] != e["h0"][:-1]))[: len(e)])
+        n = np.add.reduceat(e["n"].astype(np.int64), first) if len(e) else np.empty(0, np.int64)
+        return pa.table({"key": e["key"][first].view(np.int64), "h0": e["h0"][first], "n": n})
+
+    packed_ = docs.select("text").mapInArrow(spread, "part long, entries binary, mixed boolean")
+    return packed_.groupBy("part").applyInArrow(meet, "key long, h0 long, n long")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(h0, h1, line, size of its shingle set) of at least all lines whose h0 is in wanted, repeats possible.
+    """(h0, h1, line) of at least all lines whose h0 is in wanted, repeats possible.
 
-    A filter of fixed size spares most other lines the shuffle; the join that follows is exact."""
-    mask = (1 << FILTER_BITS) - 1
+    A filter sized by the number of wanted lines, up to FILTER_BITS, spares most others the shuffle; the joins that
+    follow are exact, so a full filter costs time only."""
+    bits = min(FILTER_BITS[1], max(FILTER_BITS[0], (16 * wanted.count()).bit_length()))
+    mask = (1 << bits) - 1
     slot = F.col("h0").bitwiseAND(mask)
     words = wanted.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h0 & 63 as int))")).alias("bits"))
-    got = words.toArrow()  # at most 2 ** (FILTER_BITS - 6) rows
-    table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    got = words.toArrow()  # at most 2 ** (FILTER_BITS[1] - 6) rows
+    table = np.zeros(1 << (bits - 6), np.int64)
     table[got.column("word").to_numpy()] = got.column("bits").to_numpy()
     held = docs.sparkSession.sparkContext.broadcast(table.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(held.value, np.int64)
+        flags = np.frombuffer(held.value, np.int64)
         for b in batches:
-            lines, ids = _fresh(b.column(0).to_pylist())
+            lines, ids, _ = _fresh(b.column(0).to_pylist())
             h = ids[:, 0]
-            hit = np.flatnonzero(bits[(h & mask) >> 6] >> (h & 63) & 1)
-            found = [lines[i] for i in hit.tolist()]
-            sizes = pa.array([len(packed(x)) for x in found], pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(ids[hit, 0]), pa.array(ids[hit, 1]), pa.array(found, pa.string()), sizes], names=["h0", "h1", "line", "size"])
+            hit = np.flatnonzero(flags[(h & mask) >> 6] >> (h & 63) & 1)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[hit, 0]), pa.array(ids[hit, 1]), pa.array([lines[i] for i in hit.tolist()], pa.string())], names=["h0", "h1", "line"])
 
-    return docs.select("text").mapInArrow(run, "h0 long, h1 long, line string, size int")
+    return docs.select("text").mapInArrow(run, "h0 long, h1 long, line string")
 
 
-def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs: a, b, ca, cb; texts: id, line. The pairs whose lines are similar, by exact comparison."""
-    left, right = (texts.select(F.col("id").alias(f"i{s}"), F.col("line").alias(f"l{s}")) for s in "ab")
-    both = pairs.join(left, pairs.a == left.ia).join(right, F.col("b") == right.ib).select("a", "b", "ca", "cb", "la", "lb")
+def _tokens(shingled: np.ndarray | set[str]) -> np.ndarray:
+    """Shingles as sorted 64-bit numbers: those of packed(), and hashes of the others."""
+    if not isinstance(shingled, set):
+        return shingled
+    hashed = [int.from_bytes(x.encode("latin-1"), "little") if max(x) < "\u0100" else xxhash.xxh64_intdigest(x) for x in shingled]
+    return np.unique(np.array(hashed, np.uint64))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray | set[str]] = {}
-        size = 0
-
-        def of(key: str, line: str) -> np.ndarray | set[str]:
-            nonlocal size
-            found = held.get(key)
-            if found is None:
-                if size > HELD:
-                    held.clear()
-                    size = 0
-                found = held[key] = packed(line)
-                size += len(found) * (10 if isinstance(found, set) else 1)
-            return found
 
+def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """pairs: p, a, many; texts: h0, h1, line. Per pair: p; the whole ids of both lines; whether they are similar by exact
+    comparison; how many shingles a has; and where many > 1, the shingles that only one of the two has."""
+    left, right = (texts.select(F.col("h0").alias(f"h{s}"), F.col("h1").alias(f"g{s}"), F.col("line").alias(f"l{s}")) for s in "pa")
+    both = pairs.join(right, pairs.a == right.ha).join(left, F.col("p") == left.hp).select("p", "a", "gp", "ga", "lp", "la", "many")
+    name = lambda h, g: f"{h & _ALL:016x}{g & _ALL:016x}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, x = None, None
         for batch in batches:
-            hit = []
-            for i, (a, b, la, lb) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 1, 4, 5)), strict=True)):
-                x, y = of(a, la), of(b, lb)
+            rows = []
+            for p, a, gp, ga, lp, la, many in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if lp != last:  # rows come sorted by p
+                    last, x = lp, packed(lp)
+                y = packed(la)
                 shared = common(x, y)
-                if shared >= SIMILARITY * (len(x) + len(y) - shared):
-                    hit.append(i)
-            yield batch.select([0, 1, 2, 3]).take(pa.array(hit, pa.int32()))
-
-    return both.mapInArrow(run, "a string, b string, ca string, cb string")
-
-
-def _merged(of: DataFrame | None, fresh: DataFrame) -> DataFrame:
-    """of: node, component so far; fresh: links between the components ca and cb. The components after these links."""
-    new = connected(fresh.select(F.col("ca").alias("a"), F.col("cb").alias("b")), "lines")
-    if of is None:
-        return staged(new, "components")
-    moved = new.select(F.col("node").alias("was"), F.col("component").alias("now"))
-    old = of.join(moved, F.col("component") == F.col("was"), "left").select("node", F.coalesce("now", "component").alias("component"))
-    single = new.join(of.select("node"), "node", "left_anti")
-    return staged(old.unionByName(single), "components")
-
-
-def components(docs: DataFrame, counts: DataFrame) -> DataFrame | None:
-    """counts: h0, h1, id, n of distinct lines. (node, component) of the lines that are similar to others.
-
-    In the first round a bucket's lines meet its most frequent one. From then on only lines outside that one's
-    component are pivots, 8 times as many in each round: every pair across components has such a line."""
-    spark = docs.sparkSession
-    met = staged(buckets(docs, 2 * n_tasks(spark)), "buckets")
-    if met.isEmpty():
+                linked = shared >= SIMILARITY * (len(x) + len(y) - shared)
+                differ = np.setxor1d(_tokens(x), _tokens(y), assume_unique=True).tobytes() if many > 1 else None
+                rows.append((p, name(p, gp), name(a, ga), linked, len(y), differ))
+            columns = zip(*rows, strict=True) if rows else [[]] * 6
+            kinds = pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.binary()
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["p", "to", "id", "linked", "size", "differ"])
+
+    return both.mapInArrow(run, "p long, to string, id string, linked boolean, size int, differ binary")
+
+
+def joined(ids: list[str], linked: np.ndarray, sizes: np.ndarray, differ: list[np.ndarray]) -> list[tuple[str, str]]:
+    """Links that connect the lines of a group as far as they are similar, given what each differs in from one and the
+    same line, and whether it is linked to that.
+
+    The symmetric difference of two lines is that of their differences, whatever they refer to; so shingles that most
+    lines differ in are turned round first. Only lines that aren't linked look for others, through the lines that hold
+    their shingles."""
+    m = len(ids)
+    line = np.repeat(np.arange(m), [len(d) for d in differ])
+    token = np.unique(np.concatenate(differ), return_inverse=True)[1].reshape(-1)
+    often = np.bincount(token)
+    # Turn round what more than half of the lines differ in.
+    turned = np.flatnonzero(2 * often > m)
+    if len(turned):
+        held = np.zeros((len(turned), m), bool)
+        at = np.isin(token, turned)
+        held[np.searchsorted(turned, token[at]), line[at]] = True
+        which, who = np.nonzero(~held)
+        token, line = np.append(token[~at], turned[which]), np.append(line[~at], who)
+    counts = np.bincount(line, minlength=m)
+    order = np.argsort(token, kind="stable")
+    post, ends = line[order], np.cumsum(np.bincount(token, minlength=len(often)))
+    starts = ends - np.bincount(token, minlength=len(often))
+    order = np.argsort(line, kind="stable")
+    mine, begin = token[order], np.cumsum(counts) - counts
+    up = np.arange(m)
+    up[linked] = np.flatnonzero(linked)[0] if linked.any() else 0
+    found = []
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    for i in np.flatnonzero(~linked).tolist():
+        t = mine[begin[i] : begin[i] + counts[i]]
+        n = ends[t] - starts[t]
+        where = np.arange(n.sum()) + np.repeat(starts[t] - np.cumsum(n) + n, n)
+        shared = np.bincount(post[where], minlength=m)
+        near = np.flatnonzero(9 * (counts[i] + counts - 2 * shared) <= sizes[i] + sizes)
+        for j in near.tolist():
+            if (x := root(i)) != (y := root(j)):
+                up[max(x, y)] = min(x, y)
+                found.append((ids[i], ids[j]))
+    return found
+
+
+def further(first: DataFrame) -> DataFrame:
+    """first: compared pairs. (a, b): links between lines of one group that aren't both linked to its leader.
+
+    A group of more than GROUP lines, or BYTES of differences, is split in parts, every two of which make a task."""
+    size = F.length("differ")
+    groups = first.where("differ is not null").groupBy(F.col("p").alias("g")).agg(
+        F.count(F.lit(1)).alias("many"), F.sum(size).alias("bytes"), F.min("linked").alias("all"),
+    ).where("not all").select("g", F.ceil(F.greatest(F.col("many") / GROUP, F.col("bytes") / BYTES)).cast("int").alias("parts"))
+    mine = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j")))
+    rows = first.where("differ is not null").join(groups, F.col("p") == F.col("g")).select("p", F.explode(others).alias("of"), "id", "linked", "size", "differ")
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.select(["id", "linked", "size", "differ"]).combine_chunks()
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("differ").to_pylist()]
+        links = joined(t.column("id").to_pylist(), t.column("linked").to_numpy().astype(bool), t.column("size").to_numpy().astype(np.int64), sets)
+        return pa.table({"a": pa.array([x for x, _ in links], pa.string()), "b": pa.array([x for _, x in links], pa.string())})
+
+    return rows.select("p", "of.i", "of.j", "id", "linked", "size", "differ").groupBy("p", "i", "j").applyInArrow(run, "a string, b string")
+
+
+def components(docs: DataFrame, seen: DataFrame) -> DataFrame | None:
+    """seen: occurrences(docs). (h0, h1, component) of the lines that are similar to others."""
+    lines = seen.agg(F.sum(F.size("lines"))).first()[0] or 0
+    parts = max(2 * n_tasks(docs.sparkSession), lines * BANDS * _ENTRY.itemsize // TASK)
+    met = staged(buckets(docs, parts), "buckets")
+    lead = met.groupBy("key").agg(F.max(F.struct("n", "h0")).alias("lead"), F.min("h0").alias("lo"), F.max("h0").alias("hi")).where("lo < hi").select(F.col("key").alias("k"), F.col("lead.h0").alias("p"))
+    pairs = staged(met.join(lead, F.col("key") == F.col("k")).where("h0 <> p").select("p", F.col("h0").alias("a")).distinct(), "led")
+    if pairs.isEmpty():
         return None
-    wanted = met.select("h0").distinct()
-    names = counts.join(wanted, "h0").select("h0", "h1", "id")
-    texts = staged(_texts(docs, wanted).dropDuplicates(["h0", "h1"]).join(names, ["h0", "h1"]).select("id", "line", "size"), "texts")
-    order = F.struct((-F.col("n")).alias("often"), "id").alias("order")
-    members = met.join(counts, "h0").select("key", "id", order).join(texts.select("id", "size"), "id")
-    members = kept = staged(members.select("key", "id", "order", "size"), "members")
-    of, pivots = None, 1
-    while True:
-        c = F.col("id")
-        if of is not None:
-            members, c = members.join(of, F.col("id") == F.col("node"), "left"), F.coalesce("component", "id")
-        placed = members.select("key", "id", "order", "size", c.alias("c"))
-        first = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct("order", "c")).alias("f"))
-        first = first.where("lo < hi").select("key", F.col("f.c").alias("lead"), F.col("f.order.id").alias("leader"))
-        placed = staged(placed.join(first, "key"), "placed")
-        if placed.isEmpty():
-            return of
-        able = F.col("id") == F.col("leader") if of is None else F.col("c") != F.col("lead")
-        share = F.pmod(F.xxhash64("id"), F.lit(pivots))
-        chosen = placed.where(able).groupBy("key", share.alias("share")).agg(F.min(F.struct("order", "c", "size")).alias("p"))
-        chosen = staged(chosen.select("key", F.col("p.order.id").alias("a"), F.col("p.c").alias("ca"), F.col("p.size").alias("sa")), "pivots")
-        pairs = placed.join(chosen, "key").where(
-            (F.col("c") != F.col("ca")) & (F.least("size", "sa") >= SIMILARITY * F.greatest("size", "sa"))
-        ).select("a", F.col("id").alias("b"), "ca", F.col("c").alias("cb"))
-        fresh = staged(similar(pairs.dropDuplicates(["a", "b"]), texts), "links")
-        if not fresh.isEmpty():
-            of = _merged(of, fresh)
-        elif of is None:
-            of = fresh.select(F.col("a").alias("node"), F.col("ca").alias("component"))
-        # Pivots have met all others of their bucket.
-        used = chosen.select(F.col("key").alias("k"), "a")
-        members = placed.select("key", "id", "order", "size").join(used, (F.col("key") == F.col("k")) & (F.col("id") == F.col("a")), "left_anti")
-        before, members = kept, staged(members, "members")
-        for done in (before, placed, chosen):
-            remove_staged(done)
-        kept = members
-        pivots *= 8
+    wanted = pairs.select(F.col("a").alias("h0")).unionByName(pairs.select(F.col("p").alias("h0"))).distinct()
+    texts = staged(_texts(docs, wanted).dropDuplicates(["h0", "h1"]), "texts")
+    remove_staged(met)
+    many = pairs.groupBy(F.col("p").alias("g")).agg(F.count(F.lit(1)).alias("many"))
+    first = staged(compared(pairs.join(many, F.col("p") == F.col("g")).drop("g"), texts), "compared")
+    links = first.where("linked").select(F.col("to").alias("a"), F.col("id").alias("b")).unionByName(further(first))
+    of = connected(links, "lines")
+    part = lambda at: F.conv(F.substring("node", at, 16), 16, -10).cast("long")
+    return of.select(part(1).alias("h0"), part(17).alias("h1"), "component")
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, n_lines, gone): positions of the lines of each document that go; documents without any are left out."""
+    """(doc_id, th, gone): positions of the lines of each document that go; documents without any are left out."""
     seen = staged(occurrences(docs), "occurrences")
     each = seen.select("doc_id", "th", F.posexplode("lines").alias("pos", "l")).where("l is not null").select("doc_id", "th", "pos", "l.h0", "l.h1")
-    place = F.struct("doc_id", "th", "pos")
-    distinct = each.groupBy("h0", "h1").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
-    hexed = lambda c: F.lpad(F.hex(c), 16, "0")
-    distinct = staged(distinct.withColumn("id", F.concat(hexed("h0"), hexed("h1"))), "distinct")
-    of = components(docs, distinct.select("h0", "h1", "id", "n"))
-    repeated = distinct.where("n > 1").select("h0", "h1", F.col("first").alias("keep"))
+    groups = each.groupBy("h0", "h1").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    hexed = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
+    groups = groups.select("h0", "h1", F.concat(hexed("h0"), hexed("h1")).alias("component"))
+    of = components(docs, seen)
     if of is not None:
-        linked = distinct.join(of, F.col("id") == F.col("node")).select("h0", "h1", "id", "first", "component")
-        linked = staged(linked, "linked")
-        keep = linked.groupBy("component").agg(F.min("first").alias("keep"))
-        linked = linked.join(staged(keep, "keep"), "component").select("h0", "h1", "keep")
-        repeated = repeated.join(linked, ["h0", "h1"], "left_anti").unionByName(linked)
+        of = staged(of, "similar")
+        groups = groups.join(of, ["h0", "h1"], "left_anti").unionByName(of)
     # As a table, so that the join may split a line that is everywhere.
-    repeated = staged(repeated, "repeated")
-    gone = each.join(repeated, ["h0", "h1"]).where(~place.eqNullSafe(F.col("keep")))
-    return gone.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("gone"))
+    groups = staged(groups, "groups")
+    place = F.struct("doc_id", "th", "pos")
+    hits = staged(each.join(groups, ["h0", "h1"]).select(place.alias("place"), "component"), "hits")
+    keep = staged(hits.groupBy(F.col("component").alias("of")).agg(F.min("place").alias("keep")), "keep")
+    gone = hits.join(keep, F.col("component") == F.col("of")).where(~F.col("place").eqNullSafe(F.col("keep")))
+    return gone.groupBy("place.doc_id", "place.th").agg(F.collect_set("place.pos").alias("gone"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:

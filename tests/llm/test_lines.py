@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import numpy as np
+
 from retort.llm import lines
 
 
@@ -104,3 +106,70 @@ def test_band_keys_stay_inside_lines():
 
 def test_empty_table(spark):
     assert lines.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def variants(rng, word, n):
+    """Lines made from one line by changes that some share, by cutting ends off and by leaving words out."""
+    base = [word() for _ in range(80)]
+    shared = [(rng.randrange(80), word()) for _ in range(6)]
+    made = {" ".join(base)}
+    while len(made) < n:
+        w = list(base)
+        for at, x in rng.sample(shared, rng.randint(0, 3)):
+            w[at] = x
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(80)] = word()
+        for _ in range(rng.randint(0, 3)):
+            del w[rng.randrange(len(w))]
+        cut = rng.choice([0, 0, 0, 4, 8])
+        made.add(" ".join(rng.choice([w[cut:], w[: len(w) - cut]])))
+    return " ".join(base), sorted(made)
+
+
+def test_groups_are_joined_exactly_as_their_similar_pairs_are(spark, monkeypatch):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices(["th", "er", "on", "漢", "re", "is"], k=rng.randint(1, 4)))
+    rows, want = [], {}
+    for p in range(3):
+        base, made = variants(rng, word, 90)
+        made.remove(base)
+        sets = [lines.shingles(x) for x in made]
+        b = lines.shingles(base)
+        alike = lambda x, y: len(x & y) >= 0.8 * len(x | y)
+        linked = [alike(x, b) for x in sets]
+        assert 10 < sum(linked) < 80
+        tokens = lines._tokens(lines.packed(base))
+        names = [f"{p}-{i}" for i in range(len(made))]
+        rows += [(p, names[i], linked[i], len(sets[i]), np.setxor1d(tokens, lines._tokens(lines.packed(x))).tobytes()) for i, x in enumerate(made)]
+        pairs = [(names[i], names[j]) for i in range(len(made)) for j in range(i) if alike(sets[i], sets[j])]
+        want |= parts(names, pairs + [(n, f"{p}") for n, l in zip(names, linked, strict=True) if l])
+    frame = spark.createDataFrame(rows, "p long, id string, linked boolean, size int, differ binary")
+    known = [(r[1], f"{r[0]}") for r in rows if r[2]]
+    for group, size in ((2048, 1 << 24), (20, 1 << 24), (2048, 30_000)):
+        monkeypatch.setattr(lines, "GROUP", group)
+        monkeypatch.setattr(lines, "BYTES", size)
+        got = [(r.a, r.b) for r in lines.further(frame).collect()]
+        assert parts([r[1] for r in rows], got + known) == want
+    assert len({v for v in want.values()}) < len(rows) - 60
+
+
+def parts(names, pairs):
+    up = {n: n for n in [*names, *(x for p in pairs for x in p)]}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    return {n: root(n) for n in up}
+
+
+def test_crowded_buckets_are_dealt_and_lose_no_line(spark, monkeypatch):
+    frame = spark.createDataFrame([(i, f"the very same beginning of a line number {i % 70:02d}") for i in range(200)] + [(200, "a line alone")], "doc_id long, text string")
+    met = lambda hot: {(r.key, r.h0) for r in (monkeypatch.setattr(lines, "HOT", hot), lines.buckets(frame.repartition(3), 5))[1].collect()}
+    usual, dealt = met(1000), met(3)
+    several = lambda found: {(k, h) for k, h in found if sum(k == x for x, _ in found) > 1}
+    assert several(usual) and several(usual) == several(dealt)
