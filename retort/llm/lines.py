@@ -24,12 +24,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected, n_tasks, remove_staged, staged
+from .shared import connected, n_tasks, remove_staged, sieve, staged
 
 SHINGLE, SIMILARITY = 8, 0.8
 BANDS, ROWS = 10, 4  #: a pair at the threshold meets with probability 1 - (1 - 0.8 ** 4) ** 10 = 0.995
 SLICE = 1 << 16  #: characters of lines whose signatures are computed together, while they are in the cache
-FILTER_BITS = (20, 27)  #: least and greatest logarithm of the size of the filter through which line texts are fetched
 HOT = 256  #: lines of one batch in one bucket from which its entries are dealt over all tasks
 TASK = 1 << 25  #: bytes of bucket entries in one task
 GROUP, BYTES = 2048, 1 << 24  #: lines, and bytes of what they differ in, in a part of a group
@@ -208,23 +207,13 @@ def buckets(docs: DataFrame, parts: int) -> DataFrame:
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(h0, h1, line) of at least all lines whose h0 is in wanted, repeats possible.
 
-    A filter sized by the number of wanted lines, up to FILTER_BITS, spares most others the shuffle; the joins that
-    follow are exact, so a full filter costs time only."""
-    bits = min(FILTER_BITS[1], max(FILTER_BITS[0], (16 * wanted.count()).bit_length()))
-    mask = (1 << bits) - 1
-    slot = F.col("h0").bitwiseAND(mask)
-    words = wanted.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h0 & 63 as int))")).alias("bits"))
-    got = words.toArrow()  # at most 2 ** (FILTER_BITS[1] - 6) rows
-    table = np.zeros(1 << (bits - 6), np.int64)
-    table[got.column("word").to_numpy()] = got.column("bits").to_numpy()
-    held = docs.sparkSession.sparkContext.broadcast(table.tobytes())
+    A sieve spares most others the shuffle; the joins that follow are exact."""
+    may = sieve(wanted, "h0")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.frombuffer(held.value, np.int64)
         for b in batches:
             lines, ids, _ = _fresh(b.column(0).to_pylist())
-            h = ids[:, 0]
-            hit = np.flatnonzero(flags[(h & mask) >> 6] >> (h & 63) & 1)
+            hit = np.flatnonzero(may(ids[:, 0]))
             yield pa.RecordBatch.from_arrays([pa.array(ids[hit, 0]), pa.array(ids[hit, 1]), pa.array([lines[i] for i in hit.tolist()], pa.string())], names=["h0", "h1", "line"])
 
     return docs.select("text").mapInArrow(run, "h0 long, h1 long, line string")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,15 +37,39 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def remove_staged(df: DataFrame) -> None:
     """Delete the files of a staged table that nothing will read again."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
         if "/staged-" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+            delete(df.sparkSession, folder)
+
+
+SIEVE_BITS = (20, 27)  #: least and greatest logarithm of a sieve's size: 128 KB to 16 MB are broadcast
+
+
+def sieve(keys: DataFrame, column: str) -> Callable[[np.ndarray], np.ndarray]:
+    """For use in Python workers: which of an array of 64-bit hashes may be among the keys (surely, those that are).
+
+    A table of bits by the keys' low bits, sized by the number of keys up to SIEVE_BITS. It spares a later exact join
+    most rows that find nothing; where it is full it spares less, and costs time only."""
+    bits = min(SIEVE_BITS[1], max(SIEVE_BITS[0], (16 * keys.count()).bit_length()))
+    mask = (1 << bits) - 1
+    word, bit = F.shiftright(F.col(column).bitwiseAND(mask), 6), F.expr(f"shiftleft(1L, cast({column} & 63 as int))")
+    got = keys.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()  # at most 2 ** (SIEVE_BITS[1] - 6) rows
+    table = np.zeros(1 << (bits - 6), np.int64)
+    table[got.column("word").to_numpy()] = got.column("bits").to_numpy()
+    held = keys.sparkSession.sparkContext.broadcast(table.tobytes())
+
+    def may(hashes: np.ndarray) -> np.ndarray:
+        flags = np.frombuffer(held.value, np.int64)
+        return (flags[(hashes & mask) >> 6] >> (hashes & 63) & 1).astype(bool)
+
+    return may
 
 
 def n_tasks(spark: SparkSession) -> int:

@@ -55,21 +55,55 @@ def test_empty_table(spark):
 def test_equal_windows_share_a_pick():
     rng = random.Random(1)
     words = [b"%d" % rng.randrange(9) for _ in range(400)]
-    _, a = substrings.picks(words[100:135])
-    at, fps = substrings.picks(words)
-    assert set(a.tolist()) <= set(fps.tolist())
-    assert len(at) < 400 / 6
-    assert (substrings.sub_hashes(words)[at] == fps).all()
+    of = lambda w: substrings.picks(substrings.Words(w), np.array([len(w)]))[0]
+    whole, part = of(words), of(words[100:135])
+    assert set(part["fp"].tolist()) <= set(whole["fp"].tolist()) and len(part) == 1
+    assert len(whole) < 400 / 7
+    # Every window has exactly one pick.
+    assert sorted(s + i for s, n in zip(whole["start"].tolist(), whole["n"].tolist(), strict=True) for i in range(n)) == list(range(366))
+    # Texts that are hashed together have the picks they have alone.
+    other = [b"%d" % rng.randrange(9) for _ in range(50)]
+    both, text = substrings.picks(substrings.Words(other + words[:20] + words), np.array([50, 70, 470]))
+    assert both[text == 2].tolist() == whole.tolist() and both[text == 0].tolist() == of(other).tolist() and not (text == 1).any()
+
+
+def test_batches_are_held_against_history(spark, tmp_path):
+    texts = corpus()
+    rows = list(enumerate(texts))
+    frame = lambda some: spark.createDataFrame(some, "doc_id long, text string")
+    parts = [rows[:25], rows[25:50], rows[50:]]
+    frames = [frame(p) for p in parts]
+    told = lambda df: sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in df.collect())
+    index = substrings.Index(spark, folder=f"{tmp_path}/index")
+    assert told(substrings.substring_dedup(frames[0], index)) == [(d, *w) for (d, _), w in zip(rows[:25], brute([t for _, t in rows[:25]]), strict=True)]
+    assert told(substrings.substring_dedup(frames[1], index)) == [(d, *w) for (d, _), w in zip(rows[25:50], brute([t for _, t in rows[:50]])[25:], strict=True)]
+    assert index.runs == [(0, 1)]  # compacted
+    # Opened again from its folder.
+    index = substrings.Index(spark, folder=f"{tmp_path}/index", batches=frames[:2])
+    assert told(substrings.substring_dedup(frames[2], index)) == [(d, *w) for (d, _), w in zip(rows[50:], brute(texts)[50:], strict=True)]
+    assert index.runs == [(0, 2)]
+    # And everything at once.
+    assert told(index.report()) == [(d, *w) for (d, _), w in zip(rows, brute(texts), strict=True)]
+    index.drop()
+
+
+def test_history_is_not_shuffled(spark):
+    index = substrings.Index(spark)
+    text = " ".join(str(i) for i in range(100))
+    for i in range(2):
+        index.add(spark.createDataFrame([(i, text)], "doc_id long, text string"))
+    one, = index.runs
+    plan = index._table(one).join(index._table(one).select("fp").hint("merge"), "fp")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    index.drop()
 
 
-def test_index_merges_runs(spark):
-    index = substrings.Index(spark)
-    frame = lambda x: spark.createDataFrame([(v,) for v in x], "fp long")
-    for batch in ([1, 2, 2], [3], [3, 4], [5, 1]):
-        index.add(frame(batch))
-    assert sorted(r.fp for r in index.repeated(frame([1, 2, 3, 4, 5, 6])).collect()) == [1, 2, 3]
-    assert len(index.runs) == 1
+def test_rows_without_doc_id(spark):
+    rng = random.Random(2)
+    texts = [" ".join(f"w{rng.randrange(50)}" for _ in range(rng.randint(1, 90))) for _ in range(4000)]
+    got = substrings.substring_dedup(spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string"))
+    assert Counter((r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()) == Counter(brute(texts))
 
 
 def test_covered():
-    assert np.flatnonzero(~substrings.covered(np.array([2, 40]), 80)).tolist() == [0, 1, 37, 38, 39, 75, 76, 77, 78, 79]
+    assert np.flatnonzero(~substrings.covered(np.array([2, 40]), np.array([1, 2]), 80)).tolist() == [0, 1, 37, 38, 39, 76, 77, 78, 79]
