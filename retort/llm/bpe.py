@@ -9,6 +9,7 @@ Vocabulary files are read where the given path says, once per Python worker.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 from collections.abc import Iterator
 from functools import cache
@@ -61,14 +62,28 @@ class Codec:
         self.merged_words = self.new_words = 0
 
     def merge(self, word: bytes) -> list[int]:
-        """Exact merging, least rank first."""
-        ids = [self.id_of[word[i : i + 1]] for i in range(len(word))]
-        while len(ids) > 1:
-            best = min(((m[0], i, m[1]) for i, pair in enumerate(zip(ids, ids[1:], strict=False)) if (m := self.merge_of.get(pair))), default=None)
-            if best is None:
-                break
-            ids[best[1] : best[1] + 2] = [best[2]]
-        return ids
+        """Exact merging, least rank first, leftmost of equal ones: a heap of pairs over linked tokens, n log n."""
+        ids: list[int | None] = [self.id_of[word[i : i + 1]] for i in range(len(word))]
+        if len(ids) < 2:
+            return ids
+        merge_of, n = self.merge_of, len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(m[0], i, m[1], ids[i], ids[i + 1]) for i in range(n - 1) if (m := merge_of.get((ids[i], ids[i + 1])))]
+        heapq.heapify(heap)
+        while heap:
+            _, i, made, left, right = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] != left or j >= n or ids[j] != right:
+                continue  # a neighbour has been merged meanwhile
+            ids[i], ids[j] = made, None
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if m := merge_of.get((made, ids[k])):
+                    heapq.heappush(heap, (m[0], i, m[1], made, ids[k]))
+            if (h := before[i]) >= 0 and (m := merge_of.get((ids[h], made))):
+                heapq.heappush(heap, (m[0], h, m[1], ids[h], made))
+        return [x for x in ids if x is not None]
 
     def propose(self, word: bytes) -> list[int]:
         """Greedy longest match."""

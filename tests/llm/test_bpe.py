@@ -1,6 +1,8 @@
 import hashlib
 import random
+import time
 
+import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -28,6 +30,17 @@ def test_as_tokenizers(samples):
     assert 0 < codec.merged_words < codec.new_words
 
 
+def test_long_words():
+    """Words of any length take little more than their length."""
+    rng = random.Random(8)
+    reference, codec = Tokenizer.from_file(PATH), bpe.Codec(PATH)
+    for text in ("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=200_000)), "ab" * 50_000, "z" * 100_000):
+        began = time.perf_counter()
+        packed, = codec.encode([text])
+        assert time.perf_counter() - began < 15
+        assert np.frombuffer(packed, "<u4").tolist() == reference.encode(text, add_special_tokens=False).ids
+
+
 def test_broken_utf8_decodes_alike():
     reference, codec = Tokenizer.from_file(PATH), bpe.Codec(PATH)
     rng = random.Random(5)
