@@ -39,18 +39,18 @@ def rotate(turns: DataFrame, context: tuple[str, ...] = CONTEXT) -> DataFrame:
         .otherwise(F.concat(F.lit("<|user|>"), F.col("role"), F.lit(":\n")))
     )
     seen = t.join(cast, t.conv_id.eqNullSafe(cast.c)).drop("c").select(
-        "*", head.alias("head"), F.floor(F.coalesce("turn", F.lit(-1)) / BLOCK).alias("block"),
+        "*", head.alias("head"), F.col("turn").isNotNull().alias("known"), F.floor(F.coalesce("turn", F.lit(0)) / BLOCK).alias("block"),
     ).withColumn("rendered", F.concat("head", "text", F.lit(END))).withColumn("n", F.length("rendered"))
-    # Running lengths in two levels: over blocks, and inside each block.
-    earlier = Window.partitionBy("conv_id", "perspective").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    # Running lengths in two levels: over blocks, and inside each block. Null turns are a block before all others.
+    earlier = Window.partitionBy("conv_id", "perspective").orderBy("known", "block").rowsBetween(Window.unboundedPreceding, -1)
     base = (
-        seen.groupBy("conv_id", "perspective", "block").agg(F.sum("n").alias("s"))
-        .select(F.col("conv_id").alias("c"), F.col("perspective").alias("p"), F.col("block").alias("b"),
+        seen.groupBy("conv_id", "perspective", "known", "block").agg(F.sum("n").alias("s"))
+        .select(F.col("conv_id").alias("c"), F.col("perspective").alias("p"), F.col("known").alias("k"), F.col("block").alias("b"),
                 F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("base"))
     )
-    inside = Window.partitionBy("conv_id", "perspective", "block").orderBy("turn", "role", "text")
+    inside = Window.partitionBy("conv_id", "perspective", "known", "block").orderBy("turn", "role", "text")
     inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = seen.join(base, seen.conv_id.eqNullSafe(base.c) & (F.col("perspective") == base.p) & (F.col("block") == base.b))
+    placed = seen.join(base, seen.conv_id.eqNullSafe(base.c) & (F.col("perspective") == base.p) & (F.col("known") == base.k) & (F.col("block") == base.b))
     placed = placed.withColumn("seg_end", F.col("base") + F.sum("n").over(inside))
     return placed.select(
         "conv_id", "perspective", "turn", "role", "rendered",

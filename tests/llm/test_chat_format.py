@@ -11,7 +11,7 @@ def brute(rows):
     for r in rows:
         by.setdefault(r[0], []).append((r[1], r[2] or "unknown", r[3] or ""))
     for conv, turns in by.items():
-        turns.sort(key=lambda t: (-1 if t[0] is None else t[0], t[1], t[2]))
+        turns.sort(key=lambda t: (t[0] is not None, t[0] or 0, t[1], t[2]))
         for p in sorted({t[1] for t in turns} - {"system"}):
             at = 0
             for turn, role, text in turns:
@@ -30,7 +30,7 @@ def test_against_brute_force(spark, monkeypatch, block):
     rng = random.Random(4)
     roles = ["user", "assistant", "system", "Zoë", None]
     rows = [(c, t, rng.choice(roles), rng.choice(["", None, "hi", "grüß\n dich", "x" * 50])) for c in range(12) for t in range(rng.randint(1, 9))]
-    rows += [rows[0], (99, 0, "system", "alone"), (None, 0, "user", "no number"), (None, 1, "assistant", "yes"), (5, None, "user", "first")]
+    rows += [rows[0], (99, 0, "system", "alone"), (None, 0, "user", "no number"), (None, 1, "assistant", "yes"), (5, None, "user", "first"), (5, -300, "user", "before the start"), (5, -1, "assistant", "so"), (6, None, None, None), (6, 600, "user", "x" * 300_000)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, rendered int").repartition(3)
     key = lambda r: tuple(str(x) for x in r)
     assert sorted([tuple(r) for r in chat_format.rotate(df).collect()], key=key) == sorted(brute(rows), key=key)
