@@ -1,7 +1,8 @@
 """Exact deduplication by content-defined chunk recipes; DataFrame functions only.
 
-A text is cut where its own content says so (a full stop or line end after a least length), so equal passages give
-equal chunks wherever they stand. A chunk's identifier is its 64-bit hash, verified: over all documents, one
+A text is cut where its own bytes say so: after a least length, at the first place where the hash of the last few bytes
+(the low halves of each, as classes) has one value of many. So equal passages give equal chunks wherever they stand, and
+whatever they are made of. A chunk's identifier is its 64-bit hash, verified: over all documents, one
 identifier must stand for one SHA-256 digest. A document becomes the ordered list of its identifiers, and only those
 short lists are shuffled and compared; long texts never move.
 """
@@ -13,20 +14,26 @@ from pyspark.sql import functions as F
 
 from .shared import staged
 
-#: A chunk ends at the first full stop or line end after MIN_CHUNK characters, at MAX_CHUNK at the latest.
+#: Bytes: a chunk ends at the first place from MIN_CHUNK on where a hash of the bytes before gives a mark, at MAX_CHUNK
+#: at the latest.
 MIN_CHUNK, MAX_CHUNK = 512, 4096
+#: The hash sorts the low halves of bytes into four classes; a mark is these in order, one in 256 for random bytes. It is
+#: looked for in neighbouring bytes and in every second, third and fourth one, as letters of all scripts differ there.
+CLASSES = "[159D]", "[26AE]", "[37BF]", "[048C]"
 
 
 def chunks(text: Column, least: int = MIN_CHUNK, most: int = MAX_CHUNK) -> Column:
-    """Content-defined chunks of a text; joined they give it back. An empty text has none."""
-    pattern = rf"(?s).{{{least},{most - 1}}}?[.\n]|.{{1,{most}}}"
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    """Content-defined chunks of a text's UTF-8 bytes, as hexadecimal digits; joined they give it back. An empty text has
+    none. A passage whose bytes never give a mark (one letter repeated) is cut at MAX_CHUNK."""
+    marks = "|".join(f"(?<={('.' * (2 * stride - 1)).join(('.' + CLASSES[0], *CLASSES[1:]))})" for stride in (1, 2, 3, 4))
+    pattern = rf".{{{2 * least}}}(?:..){{0,{most - least}}}?(?:{marks})|.{{1,{2 * most}}}"
+    return F.regexp_extract_all(F.hex(text.cast("binary")), F.lit(pattern), F.lit(0))
 
 
 def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_sha256, pieces): pieces is the ordered list of (id, digest) of the text's chunks."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    piece = lambda c: F.struct(F.xxhash64(c).alias("id"), F.unhex(F.sha2(c, 256)).alias("digest"))
+    piece = lambda c: F.struct(F.xxhash64(c).alias("id"), F.unhex(F.sha2(F.unhex(c), 256)).alias("digest"))
     return docs.select(
         F.col(id_col).alias("doc_id"), F.sha2(text, 256).alias("text_sha256"),
         F.transform(chunks(text), piece).alias("pieces"),

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from retort.llm import exact_dedup
@@ -44,7 +45,9 @@ def test_chunks(spark):
     texts = [t for t in corpus() if t]
     df = spark.createDataFrame([(t,) for t in texts], "text string").select("text", exact_dedup.chunks(F.col("text")).alias("c"))
     for r in df.collect():
-        assert "".join(r.c) == r.text and all(len(c) <= exact_dedup.MAX_CHUNK for c in r.c)
+        cut = [bytes.fromhex(c) for c in r.c]
+        assert b"".join(cut) == r.text.encode() and all(len(c) <= exact_dedup.MAX_CHUNK for c in cut)
+        assert all(len(c) >= exact_dedup.MIN_CHUNK for c in cut[:-1])
 
 
 def test_shifted_text_shares_chunks(spark):
@@ -55,5 +58,13 @@ def test_shifted_text_shares_chunks(spark):
     assert len(a & b) > 0.8 * len(a)
 
 
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", "0123456789", "漢字仮名交文章例句"])
+def test_shifted_text_without_punctuation_shares_chunks(spark, letters):
+    text = "".join(random.Random(5).choices(letters, k=60_000))
+    df = spark.createDataFrame([(text,), ("2 " + text,)], "text string")
+    a, b = (set(r.c) for r in df.select(exact_dedup.chunks(F.col("text")).alias("c")).collect())
+    assert len(a) > 15 and len(a & b) > 0.8 * len(a)
+
+
 def test_empty_table(spark):
     assert exact_dedup.exact_dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
