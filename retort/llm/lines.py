@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected, n_tasks, remove_staged, sieve, staged
+from .shared import connected, hidden, n_tasks, remove_staged, sieve, staged
 
 SHINGLE, SIMILARITY = 8, 0.8
 BANDS, ROWS = 10, 4  #: a pair at the threshold meets with probability 1 - (1 - 0.8 ** 4) ** 10 = 0.995
@@ -367,7 +367,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     First is the least (doc_id, hash of the text, position). Blank lines always stay. Repeated rows (equal doc_id and
     text) count as one document and each come out with the same text. A null text stays null. A document all of whose
-    lines go stays with an empty text. An empty table gives an empty result."""
+    lines go stays with an empty text. A line of fewer than SHINGLE characters is similar to equal lines alone. Very long
+    texts and lines are read whole. An empty table gives an empty result. Columns may have any names but those that begin
+    with two underscores."""
+    hidden(docs)
     return _applied(docs).drop("__gone", "__lines")
 
 

@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
-from .shared import staged
+from .shared import hidden, labelled, staged
 
 LABELLED = 6_000  #: labelled rows that the classifier is fitted on at most: those of least doc_id hash
 BUCKETS_LOG = 14  #: of trigram hashes
@@ -70,43 +71,59 @@ class Classifier:
 
 
 def fit(docs: DataFrame, labels: DataFrame, domains: list[str]) -> Classifier:
-    """labels: doc_id, domain. At most LABELLED of its rows and their texts in docs are learnt from, on the driver; rows
-    of other domains are left out."""
-    chosen = (
-        labels.where(F.col("domain").isin(domains) & F.col("doc_id").isNotNull())
-        .select("doc_id", F.xxhash64("doc_id").alias("h"), "domain").distinct().orderBy("h", "domain").limit(LABELLED)
-    )
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("t"))
-    got = texts.join(F.broadcast(chosen), "doc_id").toArrow()
-    order = np.lexsort((got.column("domain").to_numpy(zero_copy_only=False), got.column("h").to_numpy()))
-    texts, names = got.column("t").take(pa.array(order)).to_pylist(), got.column("domain").take(pa.array(order)).to_pylist()
-    y = np.array([domains.index(n) for n in names], int)
-    half = len(y) // 2
-    counts = np.full((1 << BUCKETS_LOG, len(domains)), 0.1)
-    for t, k in zip(texts[:half], y[:half], strict=True):
-        for h in _trigrams(t):
-            counts[:, k] += np.bincount(h, minlength=1 << BUCKETS_LOG)
-    prior = np.bincount(y, minlength=len(domains)) + 1.0
-    fitted = Classifier(tuple(domains), prior / prior.sum(), np.log(counts / counts.sum(0)).astype(np.float32), 1.0, tuple(np.bincount(y[:half], minlength=len(domains)).tolist()))
-    if half:
-        seen, truth = fitted.evidence(texts[half:]), y[half:]
-        loss = lambda s: -np.log(fitted.posterior(seen, s)[np.arange(len(truth)), truth] + 1e-12).mean()
-        return replace(fitted, sharpness=min(np.geomspace(0.01, 10, 25).tolist(), key=loss))
-    return fitted
+    """labels: doc_id, domain. At most LABELLED labelled documents are learnt from, each once, whatever repeats; rows of
+    other domains are left out. Their texts are counted on the cluster; tables of counts, and the evidence that half of
+    them have, come to the driver."""
+    rows = labelled(docs, labels.where(F.col("domain").isin(domains)), "domain", LABELLED)
+    all_ = sorted((r.h, domains.index(r.y)) for r in rows.select("h", "y").collect())
+    middle = all_[len(all_) // 2][0] if all_ else 0
+    k = len(domains)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((1 << BUCKETS_LOG, k), np.int64)
+        for b in batches:
+            for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for h in _trigrams(t):
+                    counts[:, domains.index(y)] += np.bincount(h, minlength=1 << BUCKETS_LOG)
+        yield pa.RecordBatch.from_arrays([pa.array([counts.tobytes()], pa.binary())], names=["counts"])
+
+    counts = np.full((1 << BUCKETS_LOG, k), 0.1)
+    some = rows.where(F.col("h") < middle).select("y", "t").coalesce(8)
+    for r in some.mapInArrow(count, "counts binary").toLocalIterator():
+        counts += np.frombuffer(r.counts, np.int64).reshape(counts.shape)
+    every, learnt = np.bincount([y for _, y in all_], minlength=k), np.bincount([y for h, y in all_ if h < middle], minlength=k)
+    prior = every + 1.0
+    fitted = Classifier(tuple(domains), prior / prior.sum(), np.log(counts / counts.sum(0)).astype(np.float32), 1.0, tuple(learnt.tolist()))
+    if not learnt.any():
+        return fitted
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _listed(fitted.evidence(b.column(2).to_pylist()))], names=["h", "y", "e"])
+
+    judged = rows.where(F.col("h") >= middle).select("h", "y", "t").mapInArrow(judge, "h long, y string, e array<double>")
+    got = sorted((r.h, domains.index(r.y), r.e) for r in judged.collect())
+    seen, truth = np.array([r[2] for r in got]), np.array([r[1] for r in got])
+    loss = lambda s: -np.log(fitted.posterior(seen, s)[np.arange(len(truth)), truth] + 1e-12).mean()
+    return replace(fitted, sharpness=min(np.geomspace(0.01, 10, 25).tolist(), key=loss))
+
+
+def _listed(x: np.ndarray) -> pa.ListArray:
+    """Rows as lists."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
 
 
 def posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
-    """(doc_id, n_tokens, p): p has a probability for each domain."""
+    """(doc_id, n_tokens, __p): __p has a probability for each domain."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [t or b"" for t in b.column(1).to_pylist()]
             p = model.posterior(model.evidence(texts))
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * len(model.domains)), pa.array(p.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n_tokens(t) for t in texts], pa.int64()), flat], names=["doc_id", "n_tokens", "p"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n_tokens(t) for t in texts], pa.int64()), _listed(p)], names=["doc_id", "n_tokens", "__p"])
 
-    return docs.select("doc_id", docs["text"].cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, p array<double>")
+    return docs.select("doc_id", docs["text"].cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, __p array<double>")
 
 
 def _rate(start: float, steps: list[np.ndarray], k: int) -> Column:
@@ -116,20 +133,20 @@ def _rate(start: float, steps: list[np.ndarray], k: int) -> Column:
     gradients = F.array(*[F.array(*[F.lit(float(v)) for v in g]) for g in steps])
 
     def step(r: Column, g: Column) -> Column:
-        return F.greatest(F.lit(0.0), r - sum((F.col("p")[i] * g[i] for i in range(k)), F.lit(0.0)))
+        return F.greatest(F.lit(0.0), r - sum((F.col("__p")[i] * g[i] for i in range(k)), F.lit(0.0)))
 
     return F.aggregate(gradients, F.lit(float(start)), step)
 
 
 def rates(base: DataFrame, targets: dict[str, float], domains: tuple[str, ...], total: float | None = None) -> Column:
-    """The rate of each row of base (n_tokens, p) as a column.
+    """The rate of each row of base (n_tokens, __p) as a column.
 
     total: expected tokens of the mixture; by default the least with which no domain need shrink."""
     k = len(domains)
     tokens = F.col("n_tokens").cast("double")
     share = np.array([targets[d] for d in domains], float)
     share /= share.sum()
-    p = [F.col("p")[i] for i in range(k)]
+    p = [F.col("__p")[i] for i in range(k)]
     first = base.agg(
         *[F.sum(tokens * p[i]).alias(f"t{i}") for i in range(k)],
         *[F.sum(tokens * p[i] * p[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)],
@@ -164,7 +181,7 @@ def _meet(base: DataFrame, start: Column, lower: float, rows: np.ndarray, goal:
     Newton's method on the dual: a rate is start less one number per domain times the posterior, cut at lower. A pass
     sums over the rows; it ends early where the numbers prove that no rates can meet the goal."""
     k = rows.shape[1]
-    tokens, p = F.col("n_tokens").cast("double"), [F.col("p")[i] for i in range(k)]
+    tokens, p = F.col("n_tokens").cast("double"), [F.col("__p")[i] for i in range(k)]
 
     def shift(x: np.ndarray) -> Column:
         return sum((p[i] * float(v) for i, v in enumerate(x @ rows)), F.lit(0.0))
@@ -214,10 +231,10 @@ def whole_rates(base: DataFrame, targets: dict[str, float], model: Classifier) -
     document is most likely of, domains of weight zero, and where no rates meet the targets, the domain whose share is
     furthest out of reach of the likeliest document, until they do. Documents of such domains stay, too."""
     k = len(model.domains)
-    tokens, p = F.col("n_tokens").cast("double"), [F.col("p")[i] for i in range(k)]
+    tokens, p = F.col("n_tokens").cast("double"), [F.col("__p")[i] for i in range(k)]
     first = base.where("n_tokens > 0").agg(
         F.sum(tokens).alias("n"), *[F.max(p[i]).alias(f"m{i}") for i in range(k)],
-        *[F.max(p[i] >= F.array_max("p")).alias(f"l{i}") for i in range(k)],
+        *[F.max(p[i] >= F.array_max("__p")).alias(f"l{i}") for i in range(k)],
     ).first()
     if not first.n:
         return F.lit(1.0)
@@ -254,7 +271,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], total: fl
     base, model = prepared(docs, labels, targets)
     rate = rates(base, targets, model.domains, total)
     return base.withColumn("rate", rate).select(
-        "doc_id", "n_tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(model.domains)],
+        "doc_id", "n_tokens", *[F.col("__p")[i].alias(f"p_{d}") for i, d in enumerate(model.domains)],
         "rate", copies(F.col("rate"), F.col("doc_id")).alias("copies"),
     )
 
@@ -267,20 +284,19 @@ def prepared(docs: DataFrame, labels: DataFrame, targets: dict[str, float]) -> t
 def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float]) -> DataFrame:
     """The mixture itself: rows of docs, all columns, each as often as its copies say.
 
-    No document leaves: no rate is under 1. See whole_rates() for domains that the documents lack."""
+    No document leaves: no rate is under 1. See whole_rates() for domains that the documents lack. A null or empty text
+    has the posterior of a text without evidence, as in mix(); repeated rows are repeated each, alike; a null doc_id is a
+    value like any other; an empty table gives an empty result. Columns may have any names but those that begin with two
+    underscores."""
+    hidden(docs)
     base, model = prepared(docs, labels, targets)
     rate = whole_rates(base, targets, model)
-    k = len(model.domains)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p = model.posterior(model.evidence([(t or "").encode() for t in b.column(at).to_pylist()]))
-            yield b.append_column("__p", pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * k), pa.array(p.ravel())))
-
-    from pyspark.sql.types import ArrayType, DoubleType, StructType
+            yield b.append_column("__p", _listed(model.posterior(model.evidence([(t or "").encode() for t in b.column(at).to_pylist()]))))
 
     schema = StructType([*docs.schema.fields]).add("__p", ArrayType(DoubleType()))
-    scored = docs.mapInArrow(run, schema).withColumnRenamed("__p", "p")
     n = copies(rate, F.col("doc_id")).cast("int")
-    return scored.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), n)).alias("__copy")).drop("__copy")
+    return docs.mapInArrow(run, schema).withColumn("__copy", F.explode(F.array_repeat(F.lit(0), n))).drop("__p", "__copy")

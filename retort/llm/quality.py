@@ -9,19 +9,23 @@ since text that merely repeats itself compresses well with any dictionary.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import labelled
+
 PIECE, LEVEL, DICTIONARY = 1024, 3, 112_640  #: bytes of a piece; zstandard level; bytes of a dictionary
 LABELLED = 12_000  #: labelled rows that the classifier is fitted on at most: those of least doc_id hash
-DICTIONARY_TEXT = 4_000_000  #: bytes of text of each label that a dictionary is built from at most
+DICTIONARY_TEXT = 4_000_000  #: bytes of pieces that a dictionary is built from, about: an even share of all rows' pieces
 KEEP = 0.3  #: least score of text that counts as good
 
 
@@ -36,16 +40,10 @@ class Model:
 
 
 def _dictionary(pieces: list[bytes]) -> bytes:
-    taken, size = [], 0
-    for p in pieces:
-        taken.append(p)
-        size += len(p)
-        if size >= DICTIONARY_TEXT:
-            break
     try:
-        return zstandard.train_dictionary(DICTIONARY, taken).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY, pieces).as_bytes()
     except zstandard.ZstdError:  # too little text to choose from: the text itself serves
-        return b"".join(taken)[-DICTIONARY:]
+        return b"".join(pieces)[-DICTIONARY:]
 
 
 @cache
@@ -92,23 +90,51 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def _sample(rows: DataFrame, share: float) -> list[bytes]:
+    """That share of the pieces of all rows' texts, chosen by a hash of their row and place, in a fixed order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for i, p in enumerate(_pieces(t)):
+                    luck = xxhash.xxh64_intdigest(struct.pack("<qq", h, i))
+                    if p and luck < share * 2**64:
+                        out.append((h, i, p))
+            columns = zip(*out, strict=True) if out else [[]] * 3
+            kinds = pa.int64(), pa.int32(), pa.binary()
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["h", "i", "piece"])
+
+    got = rows.select("h", "t").mapInArrow(run, "h long, i int, piece binary").toArrow()
+    return [p for _, _, p in sorted(zip(*(c.to_pylist() for c in got.columns), strict=True))]
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
-    """Fit on at most LABELLED rows of labels that aren't held out; they and their texts come to the driver."""
-    chosen = (
-        labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-        .select("doc_id", F.col(label).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
-    )
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("t"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select(F.xxhash64("doc_id").alias("h"), "y", "t").toArrow()
-    order = np.argsort(rows.column("h").to_numpy(), kind="stable")
-    y = rows.column("y").to_numpy()[order]
-    t = rows.column("t").take(pa.array(order)).to_pylist()
-    half = len(y) // 2
-    sides = [[p for text, label_ in zip(t[:half], y[:half], strict=True) if label_ == side for p in _pieces(text) if p] for side in (1, 0)]
-    if not all(sides) or len(set(y[half:].tolist())) < 2:
-        return Model(b"", b"", (), (), (), float(y.mean()) if len(y) else 0.5)
-    good, bad = map(_dictionary, sides)
-    return Model(good, bad, *(tuple(v.tolist()) for v in _calibrate(_sizes(t[half:], good, bad), y[half:])))
+    """Fit on at most LABELLED labelled documents that aren't held out, each once, whatever repeats.
+
+    Half of them give the dictionaries' pieces: all, or where those of a label have more than DICTIONARY_TEXT bytes, an
+    even share of them. The other half's whole texts are compressed on the cluster, for calibration. So what comes to the
+    driver is bounded, however long the texts are."""
+    rows = labelled(docs, labels.where(~held_out(F.col("doc_id"))), label, LABELLED)
+    all_ = sorted((r.h, int(r.y)) for r in rows.select("h", "y").collect())
+    if not all_:
+        return Model(b"", b"", (), (), (), 0.5)
+    middle = all_[len(all_) // 2][0]
+    first, second = rows.where(F.col("h") < middle), rows.where(F.col("h") >= middle)
+    size = {int(r.y): r.n for r in first.groupBy("y").agg(F.sum(F.length("t")).alias("n")).collect()}
+    if not (size.get(0) and size.get(1)) or len({y for h, y in all_ if h >= middle}) < 2:
+        return Model(b"", b"", (), (), (), float(np.mean([y for _, y in all_])))
+    good, bad = (_dictionary(_sample(first.where(F.col("y") == side), DICTIONARY_TEXT / size[side])) for side in (1, 0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = _sizes(b.column(2).to_pylist(), good, bad)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * found.shape[1]), pa.array(found.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.int32()), flat], names=["h", "y", "x"])
+
+    got = sorted((r.h, r.y, r.x) for r in second.select("h", "y", "t").mapInArrow(run, "h long, y int, x array<double>").collect())
+    x, y = np.array([r[2] for r in got]), np.array([r[1] for r in got])
+    return Model(good, bad, *(tuple(v.tolist()) for v in _calibrate(x, y)))
 
 
 def scores(texts: list[bytes], model: Model) -> np.ndarray:
@@ -138,7 +164,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs, all columns, whose text scores KEEP or more."""
+    """The rows of docs, all columns, whose text scores KEEP or more.
+
+    A null text counts as empty and stays or goes as an empty one does; repeated rows stay or go together; very long texts
+    are scored whole. An empty table gives an empty result. Without labelled rows of both kinds every text has the mean
+    label (0.5 without any) as its score."""
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -16,12 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one, if all runs
+    on one machine (tests); on a cluster that is an error."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
         context = spark.sparkContext
         place = context.getCheckpointDir()
         if not place:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             place = tempfile.mkdtemp(prefix="retort-shared-")
             context.setCheckpointDir(place)
     return place.rstrip("/")
@@ -72,6 +76,24 @@ def sieve(keys: DataFrame, column: str) -> Callable[[np.ndarray], np.ndarray]:
     return may
 
 
+def hidden(docs: DataFrame) -> None:
+    """Names that begin with two underscores are the operators' own where a table keeps its columns."""
+    if taken := [c for c in docs.columns if c.startswith("__")]:
+        raise ValueError(f"columns whose names begin with two underscores: {', '.join(taken)}")
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> DataFrame:
+    """(h, y, t): hash of the doc_id, label and text (UTF-8, null: empty) of at most limit labelled documents, those of
+    least h, staged. A doc_id counts once: its least label, and of its texts the one of least hash."""
+    chosen = (
+        labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias("y"))
+        .withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(limit)
+    )
+    texts = docs.select("doc_id", F.coalesce(docs["text"], F.lit("")).cast("binary").alias("t"))
+    rows = texts.join(F.broadcast(chosen), "doc_id")
+    return staged(rows.groupBy("doc_id").agg(F.min("h").alias("h"), F.min("y").alias("y"), F.min_by("t", F.xxhash64("t")).alias("t")).select("h", "y", "t"), "labelled")
+
+
 def n_tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -19,12 +19,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected, n_tasks, staged
+from .shared import connected, hidden, n_tasks, staged
 
 SHINGLE, THRESHOLD, SEED = 3, 2, 42
 BLOCK_BITS, RADIUS, GENERATOR = 23, 3, 0b101011100011  #: of the Golay code; its generator polynomial
 CROWDED = 1024  #: fingerprints at one anchor from which shared neighbours are used
 PAIRS = 1 << 21  #: compared at once
+REPLICAS, TASK = 64, 1 << 25  #: of a fingerprint, about; bytes of entries in a bucket, about
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64)
 _COLUMN = np.arange(8, dtype=np.int64) * 256
@@ -219,8 +220,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = staged(fingerprints(docs, id_col, text_col), "fingerprints")
     distinct = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
-    spark = docs.sparkSession
-    members = connected(links(distinct, 2 * n_tasks(spark)), "simhash")
+    buckets = max(2 * n_tasks(docs.sparkSession), distinct.count() * REPLICAS * _ENTRY.itemsize // TASK)
+    members = connected(links(distinct, buckets), "simhash")
     least = distinct.join(members, distinct.fp == members.node).groupBy("component").agg(F.min("least").alias("c"))
     linked = members.join(least, "component").select(F.col("node").alias("f"), "c")
     copies = distinct.where("n > 1").join(linked, F.col("fp") == F.col("f"), "left_anti").select(F.col("fp").alias("f"), F.col("least").alias("c"))
@@ -235,19 +236,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, all columns, with one row of each component of near duplicates: that of least (doc_id, hash of the text).
 
-    Of repeated rows one stays. Rows with a null doc_id are ordered before all others."""
+    Of repeated rows one stays. Rows with a null doc_id are ordered before all others. Null, empty and wordless texts have
+    fingerprint zero: one of all of them stays. Very long texts are read whole. An empty table gives an empty result.
+    Columns may have any names but those that begin with two underscores."""
+    hidden(docs)
     mark = F.xxhash64(F.col(text_col)).alias("__th")
     key = docs.select(F.struct(F.col(id_col).alias("__k"), mark).alias("doc_id"), F.col(text_col).alias("text"))
     rows = staged(near_duplicates(key.select("doc_id", "text")), "near")
     first = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    kept = rows.where(first).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).select("doc_id.__k", "doc_id.__th", "n")
+    kept = rows.where(first).groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n")).select("doc_id.__k", "doc_id.__th", "__n")
     kept = staged(kept, "kept")
     here = F.col(id_col).eqNullSafe(F.col("__k")) & (F.xxhash64(F.col(text_col)) == F.col("__th"))
-    out = docs.join(kept.where("n = 1"), here, "left_semi")
-    more = kept.where("n > 1")
+    out = docs.join(kept.where("__n = 1"), here, "left_semi")
+    more = kept.where("__n > 1")
     if more.isEmpty():
         return out
     again = staged(docs.join(more, here).withColumn("__row", F.monotonically_increasing_id()), "again")
     one = again.groupBy("__k", "__th").agg(F.min("__row").alias("__first"))
     again = again.join(staged(one, "one").select("__first"), F.col("__row") == F.col("__first"), "left_semi")
-    return out.unionByName(again.select(*docs.columns))
+    return out.unionByName(again.drop("__k", "__th", "__n", "__row"))

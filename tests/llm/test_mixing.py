@@ -37,7 +37,7 @@ def test_against_dense_projected_gradient(docs):
     targets = {"a": 0.05, "b": 0.05, "c": 0.9}
     base, model = mixing.prepared(docs, docs, targets)
     got = base.withColumn("r", mixing.rates(base, targets, model.domains, total=4000.0)).toPandas()
-    p, t = np.array(got.p.tolist()), got.n_tokens.to_numpy(float)
+    p, t = np.array(got["__p"].tolist()), got.n_tokens.to_numpy(float)
     goal, white = 4000 * np.array([0.05, 0.05, 0.9]), np.linalg.pinv((p * t[:, None]).T @ p)
     r = np.full(len(t), 4000 / t.sum())
     for _ in range(mixing.STEPS):
@@ -74,7 +74,7 @@ def test_resample_without_a_target_language(spark, docs, gone):
     base, model = mixing.prepared(some, some, targets)
     got = base.withColumn("r", mixing.whole_rates(base, targets, model)).toPandas()
     assert got.r.min() >= 1
-    reached = (np.array(got.p.tolist()) * (got.r * got.n_tokens).to_numpy()[:, None]).sum(0)
+    reached = (np.array(got["__p"].tolist()) * (got.r * got.n_tokens).to_numpy()[:, None]).sum(0)
     there = [i for i, d in enumerate("abc") if d != gone]
     want = np.array([targets["abc"[i]] for i in there])
     assert np.allclose(reached[there] / reached[there].sum(), want / want.sum(), atol=1e-6)
@@ -90,3 +90,10 @@ def test_empty(docs):
 def test_words():
     for text in (b"", b" ", b"a", b" a b\tc\n", b"a\x0bb\x1cc"):
         assert mixing.n_tokens(text) == len([w for w in text.replace(b"\x1c", b"x").split()])
+
+
+def test_repeated_documents_count_once(docs, monkeypatch):
+    monkeypatch.setattr(mixing, "LABELLED", 100)
+    one = mixing.fit(docs, docs, ["a", "b", "c"])
+    many = mixing.fit(docs.unionByName(docs), docs.unionByName(docs), ["a", "b", "c"])
+    assert (one.table == many.table).all() and one.learnt == many.learnt and sum(one.learnt) == 50

@@ -73,3 +73,35 @@ def test_keep_one_of_repeated_rows(spark):
     got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, k int"))
     assert got.columns == ["doc_id", "text", "k"]
     assert sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == [(0, "q r s"), (1, "a b c"), (1, "other text here"), (2, "x y z"), (3, "")]
+
+
+def odd(spark):
+    """Documents and labels with nulls, repeats, empty and very long texts, and columns that clash with hidden names."""
+    texts = ["a river runs\nover old stones", "", None, " \n ", "BUY!! NOW!!\nBUY!! NOW!!", "word " * 40_000, "x" * 100_000, "the same line of text here", "the same line of text hear"]
+    rows = [(i if i % 7 else None, t, 1, "p", 0.5, "en", i) for i, t in enumerate(texts * 2)]
+    rows += rows[3:5]
+    names = "doc_id long, text string, n int, p string, rate double, lang string, component int"
+    labels = [(i, i % 2) for i in range(40)] + [(1, 0), (1, None), (None, 1)]
+    return spark.createDataFrame(rows, names), spark.createDataFrame(labels, "doc_id long, quality int")
+
+
+@pytest.mark.parametrize("some", [True, False])
+def test_stages_stand_odd_rows_and_empty_tables(spark, tmp_path, some):
+    docs, labels = odd(spark)
+    docs, labels = (docs, labels) if some else (docs.where("false"), labels.where("false"))
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in pipeline.STAGES:
+        after = staged(stage(spark, docs, str(tmp_path)), name.replace(" ", "-"))
+        if name != "bpe":
+            assert after.columns == docs.columns
+            if name in ("line dedup", "mixing"):
+                assert {r.doc_id for r in after.collect()} == {r.doc_id for r in docs.collect()}
+        assert bool(after.count()) == some
+        docs = after
+
+
+def test_hidden_names_are_refused(spark):
+    docs, labels = odd(spark)
+    for name, stage in pipeline.STAGES[1:4]:
+        with pytest.raises(ValueError, match="__p"):
+            stage(spark, docs.withColumn("__p", docs.p), DIR)
