@@ -9,12 +9,11 @@ operator writes its images so. Pixels are uint32 ARGB arrays of (height, width).
 from __future__ import annotations
 
 import hashlib
-import heapq
 import struct
+import sys
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -75,13 +74,13 @@ class Code:
             raise ValueError("an incomplete or oversubscribed prefix code")
         self.width = int(self.lengths[-1])
         self.uniform = bool(self.lengths[0] == self.width)
-        self.table: dict[int, int] = {}
-        code, last = 0, int(self.lengths[0])
-        for s, n in zip(self.symbols.tolist(), self.lengths.tolist(), strict=True):
-            code <<= n - last
-            last = n
-            self.table[1 << n | code] = s
-            code += 1
+        spans = np.left_shift(1, self.width - self.lengths)
+        self.codes = (np.cumsum(spans) - spans) >> (self.width - self.lengths)
+
+    @cached_property
+    def table(self) -> dict[int, int]:
+        """Symbols by their code's bits after a leading one."""
+        return dict(zip((np.left_shift(1, self.lengths) | self.codes).tolist(), self.symbols.tolist(), strict=True))
 
     def read(self, bits: Bits) -> int:
         if not self.width:
@@ -96,14 +95,33 @@ class Code:
         raise ValueError("no such code")
 
 
+@cache
+def _single(symbol: int) -> Code:
+    """The code of a channel that doesn't change."""
+    lengths = np.zeros(symbol + 1, int)
+    lengths[symbol] = 1
+    return Code(lengths)
+
+
+@cache
+def _turned(n: int) -> np.ndarray:
+    """All numbers of n bits with their bits in reverse."""
+    turned = np.zeros(1 << n, np.int64)
+    for i in range(n):
+        turned |= (np.arange(1 << n) >> i & 1) << (n - 1 - i)
+    return turned
+
+
 def _read_code(bits: Bits, alphabet: int) -> Code:
-    lengths = np.zeros(alphabet, int)
     if bits.read(1):  # simple
         two, wide = bits.read(1), bits.read(1)
-        lengths[bits.read(8 if wide else 1)] = 1
-        if two:
-            lengths[bits.read(8)] = 1
+        one = bits.read(8 if wide else 1)
+        if not two:
+            return _single(one)
+        lengths = np.zeros(alphabet, int)
+        lengths[[one, bits.read(8)]] = 1
         return Code(lengths)
+    lengths = np.zeros(alphabet, int)
     outer = np.zeros(19, int)
     for k in CODE_LENGTH_ORDER[: 4 + bits.read(4)]:
         outer[k] = bits.read(3)
@@ -115,21 +133,31 @@ def _read_code(bits: Bits, alphabet: int) -> Code:
         flags = np.unpackbits(raw, bitorder="little")[bits.at & 7 :][:alphabet]
         bits.read(alphabet)
         return Code(code.symbols[flags])
-    at, previous = 0, 8
+    symbols, taken = (x.tolist() for x in _lookup(code))
+    mask, place, data, at, previous, found = (1 << code.width) - 1, bits.at, bits.data, 0, 8, []
     while at < alphabet and left:
         left -= 1
-        k = code.read(bits)
+        byte = place >> 3
+        window = int.from_bytes(data[byte : byte + 3], "little") >> (place & 7)
+        k = symbols[window & mask]
+        n = taken[window & mask]
+        place += n
         if k < 16:
-            lengths[at] = k
+            found.append(k)
             at += 1
             previous = k or previous
             continue
         value, base, extra = ((previous, 3, 2), (0, 3, 3), (0, 11, 7))[k - 16]
-        n = base + bits.read(extra)
+        n = base + (window >> n & ((1 << extra) - 1))
+        place += extra
         if at + n > alphabet:
             raise ValueError("too many code lengths")
-        lengths[at : at + n] = value
+        found += [value] * n
         at += n
+    bits.at = place
+    if bits.at > 8 * len(bits.data):
+        raise ValueError("the image ends too early")
+    lengths[: len(found)] = found
     return Code(lengths)
 
 
@@ -144,6 +172,10 @@ def _up(n: int, bits: int) -> int:
     return (n + (1 << bits) - 1) >> bits
 
 
+class _Shared(Exception):
+    """Colours share a place in the cache, or one is asked for that holds none."""
+
+
 def _decode_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     cache_bits = bits.read(4) if bits.read(1) else 0
     meta, meta_bits, groups = None, 0, 1
@@ -158,8 +190,12 @@ def _decode_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarra
     green, red, blue, alpha, _ = codes[0]
     if groups == 1 and all(c.uniform for c in (green, red, blue, alpha)) and green.symbols[-1] < LITERALS:
         return _fixed_width(bits, total, (green, red, blue, alpha)).reshape(height, width)
-    if groups == 1 and not cache_bits:
-        return _one_group(bits, width, total, codes[0]).reshape(height, width)
+    if groups == 1:
+        begin = bits.at
+        try:
+            return _one_group(bits, width, total, codes[0], cache_bits).reshape(height, width)
+        except _Shared:
+            bits.at = begin
     out, cache = [0] * total, [0] * cache_size
     at = 0
 
@@ -220,22 +256,22 @@ def _fixed_width(bits: Bits, n: int, codes: tuple[Code, ...]) -> np.ndarray:
 
 def _lookup(code: Code) -> tuple[np.ndarray, np.ndarray]:
     """Symbol and number of bits by the next bits of the stream, the first one lowest."""
-    n = code.width
-    symbols = np.zeros(1 << n, np.int32)
-    taken = np.zeros(1 << n, np.int32)
-    spans = np.left_shift(1, n - code.lengths)
-    symbols[:], taken[:] = np.repeat(code.symbols, spans), np.repeat(code.lengths, spans)
-    turned = np.zeros(1 << n, np.int64)
-    for i in range(n):
-        turned |= (np.arange(1 << n) >> i & 1) << (n - 1 - i)
-    return symbols[turned], taken[turned]
+    if not code.width:
+        return code.symbols.astype(np.int32), np.zeros(1, np.int32)
+    spans = np.left_shift(1, code.width - code.lengths)
+    turned = _turned(code.width)
+    return np.repeat(code.symbols.astype(np.int32), spans)[turned], np.repeat(code.lengths.astype(np.int32), spans)[turned]
 
 
-def _one_group(bits: Bits, width: int, total: int, codes: list[Code]) -> np.ndarray:
-    """Pixels of an image with one group of codes and no colour cache.
+def _one_group(bits: Bits, width: int, total: int, codes: list[Code], cache_bits: int) -> np.ndarray:
+    """Pixels of an image with one group of codes.
 
     In a stretch of the stream every bit position is looked up as if a pixel or reference began there; then the positions
-    where one does are followed from the first, and the pixels between references are taken as arrays."""
+    where one does are followed from the first, eight at a stride, and the pixels between references are taken as arrays.
+    A place in the colour cache stands for the one colour that has it, once that has occurred; where several colours
+    share a place, the cache is kept pixel by pixel."""
+    first_at = np.full(1 << cache_bits, total, np.int64)  # by place in the cache: where its colour first occurs
+    colour_of = np.zeros(1 << cache_bits, np.uint32)
     tables = [(_lookup(c), (1 << c.width) - 1) for c in codes]
     (green, green_n), green_mask = tables[0]
     # Extra bits and base of a length's or distance's prefix.
@@ -257,6 +293,7 @@ def _one_group(bits: Bits, width: int, total: int, codes: list[Code]) -> np.ndar
         k = ahead & np.uint32(green_mask)
         symbol, step = green[k], green_n[k]
         literal = symbol < LITERALS
+        stored = symbol >= LITERALS + LENGTHS
         if all(c.width == 0 for c in codes[1:4]):
             pixel = np.uint32(int(codes[1].symbols[0]) << 16 | int(codes[2].symbols[0]) | int(codes[3].symbols[0]) << 24)
         else:
@@ -267,7 +304,7 @@ def _one_group(bits: Bits, width: int, total: int, codes: list[Code]) -> np.ndar
                 pixel |= table[k].astype(np.uint32) << np.uint32(shift)
                 end += n[k]
             step = np.where(literal, end - pos, step)
-        refs = np.flatnonzero(~literal)
+        refs = np.flatnonzero(~literal & ~stored)
         length = distance = np.zeros(0, int)
         if len(refs):
             kind = symbol[refs] - LITERALS
@@ -281,19 +318,27 @@ def _one_group(bits: Bits, width: int, total: int, codes: list[Code]) -> np.ndar
             distance = base[kind] + (window(end) & ((1 << extra[kind]) - 1))
             step[refs] = end + extra[kind] - refs
         # Where tokens begin, until the stretch or the image ends.
-        begin, stop, chain = bits.at & 7, 8 * reach, []
-        here, steps, add = begin, step.tolist(), chain.append
-        if not any(steps):  # every pixel is the same and takes no bits
+        begin, stop = bits.at & 7, 8 * reach
+        if not step.any():  # every pixel is the same and takes no bits
             if not literal[0]:
                 raise ValueError("a back-reference outside the image")
             out[at:] = np.uint32(symbol[0] << 8) | pixel.ravel()[0]
             return out
         left = total - at
+        then = np.append(np.minimum(np.arange(stop) + step, stop), stop).astype(np.int32)
+        strides = [then]
+        for _ in range(3):
+            strides.append(strides[-1][strides[-1]])
+        far, here, chain = memoryview(strides[3]), begin, []
+        add = chain.append
         while here < stop:
             add(here)
-            here += steps[here]
-        chain = np.array(chain)
-        whole = literal[chain]
+            here = far[here]
+        chain = np.array(chain, np.int32)
+        for k in (2, 1, 0):
+            chain = np.stack([chain, strides[k][chain]], 1).ravel()
+        chain = chain[: np.searchsorted(chain, stop)]
+        whole = literal[chain] | stored[chain]
         place = np.searchsorted(refs, chain[~whole])
         size = np.ones(len(chain), np.int64)
         size[~whole] = length[place]
@@ -306,8 +351,19 @@ def _one_group(bits: Bits, width: int, total: int, codes: list[Code]) -> np.ndar
         if ends[-1] > left:
             raise ValueError("a back-reference outside the image")
         starts = at + ends - size
-        plain = chain[whole]
-        out[starts[whole]] = symbol[plain].astype(np.uint32) << np.uint32(8) | (pixel[plain] if pixel.ndim else pixel)
+        plain, to = chain[whole], starts[whole]
+        colour = symbol[plain].astype(np.uint32) << np.uint32(8) | (pixel[plain] if pixel.ndim else pixel)
+        if cache_bits:
+            held = stored[plain]
+            slot = np.where(held, symbol[plain] - LITERALS - LENGTHS, (colour * np.uint32(CACHE_FACTOR) >> np.uint32(32 - cache_bits)).astype(np.int32))
+            k = np.flatnonzero(~held)[::-1]  # the first of each comes last, and stays
+            new = first_at[slot[k]] == total
+            first_at[slot[k][new]], colour_of[slot[k][new]] = to[k][new], colour[k][new]
+            shared = (colour_of[slot[~held]] != colour[~held]).any()
+            colour[held] = np.where(first_at[slot[held]] < to[held], colour_of[slot[held]], np.uint32(0))
+            if shared or (first_at[slot[held]] >= to[held]).any():
+                raise _Shared
+        out[to] = colour
         place = place[: used - int(whole.sum())]
         for a, n, d in zip(starts[~whole].tolist(), length[place].tolist(), distance[place].tolist(), strict=True):
             if d > len(NEIGHBOURS):
@@ -376,8 +432,27 @@ def predict(mode: int, left: np.ndarray, top: np.ndarray, top_right: np.ndarray,
 _FROM_ABOVE = frozenset({0, 2, 3, 4, 8, 9, 14, 15})  #: modes that need no pixel of the same row
 
 
+def _undo_whole(residual: np.ndarray, mode: int) -> np.ndarray:
+    """The predictor undone where black, the left or the upper pixel predicts the whole image: running sums of bytes."""
+    out = np.ascontiguousarray(residual).view(np.uint8).reshape(*residual.shape, 4).copy()
+    out[0, 0, 3:] += np.uint8(255)
+    out[0] = np.cumsum(out[0], 0, np.uint8)
+    out[:, 0] = np.cumsum(out[:, 0], 0, np.uint8)
+    if mode == 0:
+        out[1:, 1:, 3] += np.uint8(255)
+    elif mode == 1:
+        out[1:] = np.cumsum(out[1:], 1, np.uint8)
+    else:
+        out = np.cumsum(out, 0, np.uint8)
+        out[:, 0] = np.cumsum(np.ascontiguousarray(residual).view(np.uint8).reshape(*residual.shape, 4)[:, 0], 0, np.uint8)
+        out[:, 0, 3] += np.uint8(255)
+    return out.view(np.uint32)[..., 0]
+
+
 def _undo_predictor(residual: np.ndarray, modes: np.ndarray, size_bits: int) -> np.ndarray:
     height, width = residual.shape
+    if (modes == modes.flat[0]).all() and int(modes.flat[0]) < 3 and sys.byteorder == "little":
+        return _undo_whole(residual, int(modes.flat[0]))
     rest, out = _channels(residual), np.zeros((height, width, 4), np.int32)
     out[0] = np.cumsum(rest[0] + np.where(np.arange(width)[:, None] == 0, [255, 0, 0, 0], 0), 0) & 255
     for y in range(1, height):
@@ -400,8 +475,12 @@ def _undo_predictor(residual: np.ndarray, modes: np.ndarray, size_bits: int) ->
 
 
 def _cross_colour(pixels: np.ndarray, elements: np.ndarray, size_bits: int, undo: bool) -> np.ndarray:
-    y, x = np.indices(pixels.shape)
-    c, e = _channels(pixels), _channels(elements)[y >> size_bits, x >> size_bits].astype(np.int8).astype(np.int32)
+    if (elements == elements.flat[0]).all():
+        elements = elements[:1, :1]
+    else:
+        y, x = np.indices(pixels.shape)
+        elements = elements[y >> size_bits, x >> size_bits]
+    c, e = _channels(pixels), _channels(elements).astype(np.int8).astype(np.int32)
     signed = lambda v: (v & 255).astype(np.uint8).astype(np.int8).astype(np.int32)
     green = signed(c[..., 2])
     sign = 1 if undo else -1
@@ -471,18 +550,38 @@ def chunks(data: bytes) -> Iterator[tuple[bytes, bytes]]:
     at, end = 12, 8 + struct.unpack("<I", data[4:8])[0]
     if end > len(data):
         raise ValueError("the file ends too early")
+    yield from _parts(data, at, end)
+
+
+def _parts(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, bytes]]:
     while at + 8 <= end:
         size = struct.unpack("<I", data[at + 4 : at + 8])[0]
         yield data[at : at + 4], data[at + 8 : at + 8 + size]
         at += 8 + size + (size & 1)
 
 
-def decode(data: bytes) -> np.ndarray:
-    """Pixels of a lossless WebP file."""
+def frames(data: bytes) -> Iterator[np.ndarray]:
+    """Pixels of the lossless image of a WebP file, or of each frame of an animation."""
+    found = False
     for name, body in chunks(data):
         if name == b"VP8L":
-            return decode_vp8l(body)
-    raise ValueError("no lossless image in the file")
+            yield decode_vp8l(body)
+            found = True
+        elif name == b"ANMF":  # place, size, duration and flags, then the frame's own chunks
+            for inner, part in _parts(body, 16, len(body)):
+                if inner == b"VP8L":
+                    yield decode_vp8l(part)
+                    found = True
+    if not found:
+        raise ValueError("no lossless image in the file")
+
+
+def decode(data: bytes) -> np.ndarray:
+    """Pixels of a lossless WebP file of one image."""
+    first, *more = frames(data)
+    if more:
+        raise ValueError("the file has several frames")
+    return first
 
 
 class Writer:
@@ -515,34 +614,51 @@ class Writer:
         return b"".join(self.parts) + self.value.to_bytes((self.n + 7) >> 3, "little")
 
 
-def _lengths(counts: Counter, alphabet: int, limit: int) -> np.ndarray:
+def _lengths(counts: np.ndarray, limit: int) -> np.ndarray:
     """Code lengths by Huffman's method, with flatter counts until none is over the limit."""
-    lengths = np.zeros(alphabet, int)
-    weights = {s: c for s, c in counts.items() if c} or {0: 1}
-    if len(weights) == 1:
-        lengths[next(iter(weights))] = 1
+    lengths = np.zeros(len(counts), int)
+    used = np.flatnonzero(counts)
+    if len(used) < 2:
+        lengths[used[0] if len(used) else 0] = 1
         return lengths
+    weights, n = counts[used], len(used)
     while True:
-        heap = [(c, s, i) for i, (s, c) in enumerate(weights.items())]
-        heapq.heapify(heap)
-        parents = [0] * (2 * len(heap) - 1)
-        for node in range(len(heap), len(parents)):
-            a, b = heapq.heappop(heap), heap[0]
-            parents[a[2]] = parents[b[2]] = node
-            heapq.heapreplace(heap, (a[0] + b[0], min(a[1], b[1]), node))
-        depths = [0] * len(parents)
-        for node in range(len(parents) - 2, -1, -1):
+        order = np.argsort(weights, kind="stable")
+        # Leaves and what is made of them both come in order of weight; the least two are joined.
+        leaves, made, parents = weights[order].tolist(), [], [0] * (2 * n - 1)
+        i = j = 0
+        for node in range(n, 2 * n - 1):
+            total = 0
+            for _ in range(2):
+                if j >= len(made) or i < n and leaves[i] <= made[j]:
+                    total += leaves[i]
+                    parents[i] = node
+                    i += 1
+                else:
+                    total += made[j]
+                    parents[n + j] = node
+                    j += 1
+            made.append(total)
+        depths = [0] * (2 * n - 1)
+        for node in range(2 * n - 3, -1, -1):
             depths[node] = depths[parents[node]] + 1
-        lengths[list(weights)] = depths[: len(weights)]
+        lengths[used[order]] = depths[:n]
         if lengths.max() <= limit:
             return lengths
-        weights = {s: (c + 1) // 2 for s, c in weights.items()}
+        weights = (weights + 1) // 2
+
+
+def _pattern_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By symbol: its code's bits in the order of the stream, and their number."""
+    pattern, size, code = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64), Code(lengths)
+    pattern[code.symbols] = _turned(15)[code.codes << (15 - code.lengths)]
+    size[code.symbols] = code.lengths
+    return pattern, size
 
 
 def _bit_patterns(lengths: np.ndarray) -> dict[int, tuple[int, int]]:
-    """symbol: (bits in the order of the stream, their number)."""
-    code = Code(lengths)
-    return {s: (int(f"{key:b}"[:0:-1] or "0", 2), key.bit_length() - 1) for key, s in code.table.items()}
+    pattern, size = _pattern_table(lengths)
+    return {s: (int(pattern[s]), int(size[s])) for s in np.flatnonzero(lengths).tolist()}
 
 
 def _write_code(w: Writer, lengths: np.ndarray) -> None:
@@ -555,24 +671,19 @@ def _write_code(w: Writer, lengths: np.ndarray) -> None:
         if len(used) == 2:
             w.put(used[1], 8)
         return
-    tokens, at, previous = [], 0, 8
-    lengths = lengths.tolist()
-    while at < len(lengths):
-        v, run = lengths[at], 1
-        while at + run < len(lengths) and lengths[at + run] == v:
-            run += 1
-        if v == 0 and run >= 3:
-            run = min(run, 138)
-            tokens.append((18, run - 11, 7) if run >= 11 else (17, run - 3, 3))
-        elif v == previous and run >= 3:
-            run = min(run, 6)
-            tokens.append((16, run - 3, 2))
-        else:
-            run = 1
+    tokens, previous = [], 8
+    edges = np.flatnonzero(np.diff(lengths, prepend=-1))
+    for v, run in zip(lengths[edges].tolist(), np.diff(edges, append=len(lengths)).tolist(), strict=True):
+        if v and v != previous:
             tokens.append((v, 0, 0))
-        previous = v or previous
-        at += run
-    outer = _lengths(Counter(t[0] for t in tokens), 19, 7)
+            previous, run = v, run - 1
+        most = 6 if v else 138
+        while run >= 3:
+            n = min(run, most)
+            tokens.append((16, n - 3, 2) if v else (18, n - 11, 7) if n >= 11 else (17, n - 3, 3))
+            run -= n
+        tokens += [(v, 0, 0)] * run
+    outer = _lengths(np.bincount([t[0] for t in tokens], minlength=19), 7)
     stored = max(4, max(i + 1 for i, k in enumerate(CODE_LENGTH_ORDER) if outer[k]))
     w.put(0, 1)
     w.put(stored - 4, 4)
@@ -580,9 +691,12 @@ def _write_code(w: Writer, lengths: np.ndarray) -> None:
         w.put(int(outer[k]), 3)
     w.put(0, 1)
     patterns = _bit_patterns(outer)
+    value = size = 0
     for k, extra, n in tokens:
-        w.put(*patterns[k])
-        w.put(extra, n)
+        bits, m = patterns[k]
+        value |= (bits | extra << m) << size
+        size += m + n
+    w.put(value, size)
 
 
 def _prefix(value: int) -> tuple[int, int, int]:
@@ -632,7 +746,7 @@ def _write_pixels(w: Writer, pixels: np.ndarray, main: bool, cache_bits: int = 0
     n_groups = int(groups.max()) + 1 if groups is not None else 1
     tokens = _tokens(pixels.ravel().tolist(), width, cache_bits, references)
     alphabets = (LITERALS + LENGTHS + (1 << cache_bits if cache_bits else 0), 256, 256, 256, DISTANCES)
-    counts = [[Counter() for _ in alphabets] for _ in range(n_groups)]
+    counts = [[np.zeros(n, np.int64) for n in alphabets] for _ in range(n_groups)]
     items = []
     for at, kind, *rest in tokens:
         g = int(groups[at // width >> group_bits, at % width >> group_bits]) if groups is not None else 0
@@ -649,7 +763,7 @@ def _write_pixels(w: Writer, pixels: np.ndarray, main: bool, cache_bits: int = 0
         items.append((g, parts))
     patterns = []
     for group in counts:
-        lengths = [_lengths(c, n, 15) for c, n in zip(group, alphabets, strict=True)]
+        lengths = [_lengths(c, 15) for c in group]
         for x in lengths:
             _write_code(w, x)
         patterns.append([_bit_patterns(x) for x in lengths])
@@ -724,7 +838,11 @@ def _repeats(values: np.ndarray) -> list[tuple[int, int, int]]:
     if n < 2:
         return []
     keys = np.ndarray((n,), "<u8", np.ascontiguousarray(values), strides=(1,)).copy()
-    order = np.argsort(keys, kind="stable")
+    if n < 1 << 20:  # a sort of hashes with their places is several times faster than a stable one of keys
+        places = np.uint64((1 << 20) - 1)
+        order = (np.sort(keys * np.uint64(0x9E3779B97F4A7C15) & ~places | np.arange(n, dtype=np.uint64)) & places).astype(np.int64)
+    else:
+        order = np.argsort(keys, kind="stable")
     again = np.flatnonzero(keys[order[1:]] == keys[order[:-1]])
     back = np.zeros(n + 1, np.int64)
     back[order[again + 1]] = order[again + 1] - order[again]
@@ -754,9 +872,22 @@ def _prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.where(v < 4, v, 2 * high + (v >> np.maximum(0, high - 1) & 1)), np.where(v < 4, 0, v & ((1 << np.maximum(0, n)) - 1)), n
 
 
-def _write_green(w: Writer, green: np.ndarray, width: int, alpha: int) -> None:
-    """An image whose only changing channel is green, with prefix codes of its own and back-references."""
-    w.put(0, 2)  # no colour cache, one group
+def _cache_for(colours: np.ndarray) -> tuple[int, np.ndarray]:
+    """The smallest colour cache in which each of the colours has a place of its own, and their places; 0 if there is none."""
+    for n in range(max(1, (len(colours) - 1).bit_length()), 12):
+        slots = (colours * np.uint32(CACHE_FACTOR) >> np.uint32(32 - n)).astype(np.int64)
+        if len(np.unique(slots)) == len(colours):
+            return n, slots
+    return 0, np.zeros(0, np.int64)
+
+
+def _write_green(w: Writer, green: np.ndarray, width: int, alpha: int, caching: bool = False) -> None:
+    """An image whose only changing channel is green, with prefix codes of its own, back-references and, with caching, a
+    colour cache, if one holds all colours: a value is a literal once, then its place there."""
+    values, first = np.unique(green, return_index=True)
+    cache_bits, slots = _cache_for(np.uint32(alpha << 24) | values.astype(np.uint32) << np.uint32(8)) if caching else (0, None)
+    w.put(int(cache_bits > 0) | cache_bits << 1, 5 if cache_bits else 1)
+    w.put(0, 1)  # one group
     copied = np.array(_repeats(green), np.int64).reshape(-1, 3)
     starts, lengths = copied[:, 0], copied[:, 1]
     near = _near(width)
@@ -766,14 +897,20 @@ def _write_green(w: Writer, green: np.ndarray, width: int, alpha: int) -> None:
     inside[starts + lengths] -= 1
     literal = np.cumsum(inside)[:-1] == 0
     symbol = green.astype(np.int64)
+    if cache_bits:
+        place_of = np.zeros(256, np.int64)
+        place_of[values] = slots + LITERALS + LENGTHS
+        symbol = place_of[green]
+        symbol[first] = values
     symbol[starts] = LITERALS + a
     literal[starts] = True
     made = []
-    for used, alphabet in ((symbol[literal], LITERALS + LENGTHS), ([0], 256), ([0], 256), ([alpha], 256), (b, DISTANCES)):
-        counts = np.bincount(used, minlength=alphabet)
-        made.append(_lengths(Counter({int(k): int(counts[k]) for k in np.flatnonzero(counts)}), alphabet, 15))
+    for used, alphabet in ((symbol[literal], LITERALS + LENGTHS + (1 << cache_bits if cache_bits else 0)), (b, DISTANCES)):
+        made.append(_lengths(np.bincount(used, minlength=alphabet), 15))
+        if len(made) == 2:
+            w.put(0b0001 | 0b0001 << 4 | (1 | (alpha > 1) << 2 | alpha << 3) << 8, 19 if alpha > 1 else 12)  # red, blue, alpha
         _write_code(w, made[-1])
-    (pattern, size), (far_pattern, far_size) = (_pattern_table(made[i]) for i in (0, 4))
+    (pattern, size), (far_pattern, far_size) = map(_pattern_table, made)
     value, n = pattern[symbol], size[symbol] * literal
     bits = n[starts]
     more = value[starts]
@@ -792,23 +929,17 @@ def _write_green(w: Writer, green: np.ndarray, width: int, alpha: int) -> None:
             w.flags(flags[head:])
 
 
-def _pattern_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    pattern, size = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-    for s, (bits, n) in _bit_patterns(lengths).items():
-        pattern[s], size[s] = bits, n
-    return pattern, size
-
-
 def _entropy(values: np.ndarray) -> float:
     counts = np.bincount(values.ravel(), minlength=256)
     counts = counts[counts > 0]
     return float((counts * np.log2(counts.sum() / counts)).sum())
 
 
-def encode_samples(payload: bytes) -> bytes:
+def _grey_image(payload: bytes) -> tuple[bytes, int, int]:
     """One grey image, a pixel for each byte, with prefix codes and back-references. Few colours are a palette, several
     to a byte; of SMALL bytes and more red and blue are taken off by the cross-colour transform, from what the predictor
-    leaves, whose mode is the cheapest for each block; of fewer bytes by subtract-green."""
+    leaves, whose mode is the cheapest for each block; of fewer bytes
+    by subtract-green, and a colour cache holds the colours. Returns the bitstream, width and height."""
     values = np.frombuffer(payload, np.uint8)
     width = 64
     while -(-len(values) // width) > (SIDE if width >= WIDE else width):
@@ -818,7 +949,7 @@ def encode_samples(payload: bytes) -> bytes:
     grey.ravel()[: len(values)] = values
     w = _start(width, height, False)
     colours = np.flatnonzero(np.bincount(grey.ravel(), minlength=256))
-    alpha = 255
+    alpha, caching = 255, False
     if len(colours) <= 16:
         n = _palette_bits(len(colours))
         w.put(1 | PALETTE << 1, 3)
@@ -843,26 +974,32 @@ def encode_samples(payload: bytes) -> bytes:
         w.put(BLOCK - 2, 3)
         _write_pixels(w, np.full(modes.shape, 0xFF002020, np.uint32), False)  # all of green off red and off blue
     else:
+        caching = True
         w.put(1 | SUBTRACT_GREEN << 1, 3)
     w.put(0, 1)  # no further transform
-    _write_green(w, grey.ravel(), grey.shape[1], alpha)
-    return riff((b"VP8L", w.done()), (b"SIZE", struct.pack("<Q", len(values))))
+    _write_green(w, grey.ravel(), grey.shape[1], alpha, caching)
+    return w.done(), width, height
 
 
 def store(payload: bytes) -> bytes:
-    """The payload as one image, or a row of them where it is longer than FRAME."""
-    return b"".join(encode_samples(payload[i : i + FRAME]) for i in range(0, len(payload), FRAME))
+    """The payload as a WebP file: one image, or where it is longer than FRAME, an animation whose frames hold a part each."""
+    size = b"SIZE", struct.pack("<Q", len(payload))
+    if len(payload) <= FRAME:
+        return riff((b"VP8L", _grey_image(payload)[0]), size)
+    images = [_grey_image(payload[i : i + FRAME]) for i in range(0, len(payload), FRAME)]
+    three = lambda *numbers: b"".join(n.to_bytes(3, "little") for n in numbers)
+    canvas = struct.pack("<I", 2) + three(max(x for _, x, _ in images) - 1, max(y for _, _, y in images) - 1)
+    shown = [(b"ANMF", three(0, 0, x - 1, y - 1, 0) + b"\0" + riff((b"VP8L", data))[12:]) for data, x, y in images]
+    return riff((b"VP8X", canvas), (b"ANIM", bytes(6)), *shown, size)
 
 
 def load(media: bytes) -> np.ndarray:
-    """Samples of stored media: the green channel of its images, without filling."""
-    parts, at = [], 0
-    while at < len(media):
-        end = at + 8 + struct.unpack("<I", media[at + 4 : at + 8])[0]
-        body = dict(chunks(media[at:end]))
-        pixels = decode_vp8l(body[b"VP8L"]).ravel()
-        parts.append((pixels >> np.uint32(8)).astype(np.uint8)[: struct.unpack("<Q", body[b"SIZE"])[0]])
-        at = end
+    """Samples of stored media: the green channel of its frames, without filling."""
+    left = struct.unpack("<Q", dict(chunks(media))[b"SIZE"])[0]
+    parts = []
+    for image in frames(media):
+        parts.append((image.ravel() >> np.uint32(8)).astype(np.uint8)[: min(FRAME, left)])
+        left -= len(parts[-1])
     return np.concatenate(parts)
 
 

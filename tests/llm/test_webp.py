@@ -6,6 +6,8 @@ import pytest
 
 from retort.llm import webp
 
+from . import plain_webp
+
 
 def picture(rng, height=23, width=37, colours=None):
     if colours:
@@ -156,3 +158,63 @@ def test_stored_images_use_the_format(monkeypatch):
         kinds |= {"palette"} if len(set(webp.pad(t))) <= 16 else set()
     assert kinds == {"predictor", "cross", "green", "palette"} and references >= 3 and max(lengths) > 3
     assert len(webp.store(webp.pad(texts[2]))) < len(texts[2]) / 2
+
+
+@pytest.mark.parametrize("mode", [0, 1, 2])
+def test_whole_images_undone_as_sums_are_as_those_undone_by_rows(mode):
+    rng = np.random.default_rng(mode)
+    for shape in ((1, 1), (1, 7), (5, 1), (9, 13)):
+        rest = rng.integers(0, 1 << 32, shape, dtype=np.uint32)
+        modes = np.full(((shape[0] + 3) >> 2, (shape[1] + 3) >> 2), mode, np.uint32)
+        mixed = modes.copy()
+        got = webp._undo_whole(rest, mode)
+        c, out = webp._channels(rest), np.zeros((*shape, 4), np.int64)
+        for y in range(shape[0]):
+            for x in range(shape[1]):
+                black = np.array([255, 0, 0, 0])
+                guess = black if x == y == 0 else out[0, x - 1] if y == 0 else out[y - 1, 0] if x == 0 else (black, out[y, x - 1], out[y - 1, x])[mode]
+                out[y, x] = (c[y, x] + guess) & 255
+        assert (got == webp._packed(out)).all() and (webp._undo_predictor(rest, mixed, 2) == got).all()
+
+
+def test_against_a_plain_decoder():
+    """What the operator stores, of all kinds of texts, and pictures with every transform, read by another decoder."""
+    rng = np.random.default_rng(3)
+    words = ["river", "stone", "light", "é", "漢", "over", "and", "the", "\n", "42"]
+    texts = [b"", b"ab" * 300, " ".join(rng.choice(words, 200)).encode(), " ".join(rng.choice(words, 1500)).encode(), bytes(range(256)) * 20, rng.bytes(5000)]
+    met = set()
+    for t in texts:
+        payload = webp.pad(t)
+        stored = webp.store(payload)
+        rows, kinds = plain_webp.decode(stored)
+        met |= kinds
+        assert bytes(p >> 8 & 255 for row in rows for p in row)[: len(payload)] == payload
+        assert (webp.decode(stored) == np.array(rows, np.uint32)).all()
+    assert met == {0, 1, 2, 3}
+    p = picture(rng)
+    modes = rng.integers(0, 14, (6, 10)).astype(np.uint32)
+    cross = rng.integers(0, 1 << 24, (6, 10), dtype=np.uint32) | np.uint32(webp.BLACK)
+    for stored, want in (
+        (webp.encode(p, predictor=modes), p), (webp.encode(p, cross=cross, green=True, cache_bits=6, references=True), p),
+        (webp.encode(p, groups=rng.integers(0, 3, (6, 10)), group_bits=2), p),
+        (webp.encode(q := picture(rng, colours=7), palette=True, references=True), q),
+    ):
+        rows, _ = plain_webp.decode(stored)
+        assert (np.array(rows, np.uint32) == want).all() and (webp.decode(stored) == want).all()
+
+
+def test_stored_texts_use_the_colour_cache():
+    payload = webp.pad(b"the river runs over old stones and the light comes in " * 3 + b"slowly")
+    stream = webp.Bits(dict(webp.chunks(webp.store(payload)))[b"VP8L"])
+    stream.read(8 + 14 + 14 + 1 + 3)
+    assert (stream.read(1), stream.read(2), stream.read(1)) == (1, webp.SUBTRACT_GREEN, 0)
+    assert stream.read(1) == 1 and 1 <= stream.read(4) <= 11
+    assert webp.load(webp.store(payload)).tobytes() == payload
+
+
+def test_colours_that_share_a_place_in_the_cache():
+    """The fast reading of the cache gives way to the one by pixels."""
+    rng = np.random.default_rng(5)
+    for bits in (1, 2, 3):
+        p = rng.choice(rng.integers(0, 1 << 32, 6, dtype=np.uint32), (20, 20))
+        assert (webp.decode(webp.encode(p, cache_bits=bits, references=True)) == p).all()
