@@ -172,6 +172,12 @@ def _up(n: int, bits: int) -> int:
     return (n + (1 << bits) - 1) >> bits
 
 
+@cache
+def _near_distances(width: int) -> np.ndarray:
+    """What the distance codes of neighbours stand for."""
+    return np.array([max(1, x + y * width) for x, y in NEIGHBOURS], np.int64)
+
+
 class _Shared(Exception):
     """Colours share a place in the cache, or one is asked for that holds none."""
 
@@ -188,6 +194,8 @@ def _decode_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarra
     codes = [[_read_code(bits, n) for n in sizes] for _ in range(groups)]
     total = width * height
     green, red, blue, alpha, _ = codes[0]
+    if groups == 1 and not any(c.width for c in (green, red, blue, alpha)) and green.symbols[0] < LITERALS:
+        return np.full((height, width), int(alpha.symbols[0]) << 24 | int(red.symbols[0]) << 16 | int(green.symbols[0]) << 8 | int(blue.symbols[0]), np.uint32)
     if groups == 1 and all(c.uniform for c in (green, red, blue, alpha)) and green.symbols[-1] < LITERALS:
         return _fixed_width(bits, total, (green, red, blue, alpha)).reshape(height, width)
     if groups == 1:
@@ -365,14 +373,11 @@ def _one_group(bits: Bits, width: int, total: int, codes: list[Code], cache_bits
                 raise _Shared
         out[to] = colour
         place = place[: used - int(whole.sum())]
-        for a, n, d in zip(starts[~whole].tolist(), length[place].tolist(), distance[place].tolist(), strict=True):
-            if d > len(NEIGHBOURS):
-                d -= len(NEIGHBOURS)
-            else:
-                x, y = NEIGHBOURS[d - 1]
-                d = max(1, x + y * width)
-            if d > a:
-                raise ValueError("a back-reference outside the image")
+        to, far = starts[~whole], distance[place]
+        back = np.where(far > len(NEIGHBOURS), far - len(NEIGHBOURS), _near_distances(width)[np.minimum(far, len(NEIGHBOURS)) - 1])
+        if (back > to).any():
+            raise ValueError("a back-reference outside the image")
+        for a, n, d in zip(to.tolist(), length[place].tolist(), back.tolist(), strict=True):
             if d >= n:
                 out[a : a + n] = out[a - d : a - d + n]
             else:
@@ -661,15 +666,22 @@ def _bit_patterns(lengths: np.ndarray) -> dict[int, tuple[int, int]]:
     return {s: (int(pattern[s]), int(size[s])) for s in np.flatnonzero(lengths).tolist()}
 
 
+def _write_single(w: Writer, symbol: int) -> None:
+    """The code of a channel that doesn't change."""
+    w.put(1 | (symbol > 1) << 2 | symbol << 3, 11 if symbol > 1 else 4)
+
+
 def _write_code(w: Writer, lengths: np.ndarray) -> None:
     used = np.flatnonzero(lengths).tolist()
-    if len(used) <= 2 and used[-1] < 256:
+    if len(used) == 1 and used[0] < 256:
+        _write_single(w, used[0])
+        return
+    if len(used) == 2 and used[-1] < 256:
+        w.put(1, 1)
         w.put(1, 1)
-        w.put(len(used) - 1, 1)
         w.put(int(used[0] > 1), 1)
         w.put(used[0], 8 if used[0] > 1 else 1)
-        if len(used) == 2:
-            w.put(used[1], 8)
+        w.put(used[1], 8)
         return
     tokens, previous = [], 8
     edges = np.flatnonzero(np.diff(lengths, prepend=-1))
@@ -735,6 +747,12 @@ def _tokens(pixels: list[int], width: int, cache_bits: int, references: bool) ->
 
 def _write_pixels(w: Writer, pixels: np.ndarray, main: bool, cache_bits: int = 0, references: bool = False, groups: np.ndarray | None = None, group_bits: int = 2) -> None:
     height, width = pixels.shape
+    if not cache_bits and groups is None and (pixels == pixels.flat[0]).all():  # codes of one symbol say it all
+        p = int(pixels.flat[0])
+        w.put(0, 1 + main)
+        for symbol in (p >> 8 & 255, p >> 16 & 255, p & 255, p >> 24, 0):
+            _write_single(w, symbol)
+        return
     w.put(int(cache_bits > 0), 1)
     if cache_bits:
         w.put(cache_bits, 4)
@@ -834,8 +852,8 @@ def encode(pixels: np.ndarray, predictor: np.ndarray | None = None, cross: np.nd
 
 def _repeats(values: np.ndarray) -> list[tuple[int, int, int]]:
     """(start, length, distance) of back-references, in order and apart: runs of SAME bytes and more that occur before."""
-    n = len(values) - SAME + 1
-    if n < 2:
+    n = len(values) - 7
+    if n < SAME:
         return []
     keys = np.ndarray((n,), "<u8", np.ascontiguousarray(values), strides=(1,)).copy()
     if n < 1 << 20:  # a sort of hashes with their places is several times faster than a stable one of keys
@@ -851,7 +869,7 @@ def _repeats(values: np.ndarray) -> list[tuple[int, int, int]]:
     found, at = [], 0
     for first, last, d in zip(edges[:-1].tolist(), edges[1:].tolist(), back[edges[:-1]].tolist(), strict=True):
         if d:
-            first, end = max(first, at), last + SAME - 1
+            first, end = max(first, at), last + 7
             while end - first >= SAME:
                 n = min(end - first, COPY)
                 found.append((first, n, d))
@@ -884,8 +902,13 @@ def _cache_for(colours: np.ndarray) -> tuple[int, np.ndarray]:
 def _write_green(w: Writer, green: np.ndarray, width: int, alpha: int, caching: bool = False) -> None:
     """An image whose only changing channel is green, with prefix codes of its own, back-references and, with caching, a
     colour cache, if one holds all colours: a value is a literal once, then its place there."""
-    values, first = np.unique(green, return_index=True)
-    cache_bits, slots = _cache_for(np.uint32(alpha << 24) | values.astype(np.uint32) << np.uint32(8)) if caching else (0, None)
+    cache_bits = 0
+    if caching:
+        first = np.full(256, -1)
+        first[green[::-1]] = np.arange(len(green) - 1, -1, -1)  # of equal values the first is written last
+        values = np.flatnonzero(first >= 0)
+        first = first[values]
+        cache_bits, slots = _cache_for(np.uint32(alpha << 24) | values.astype(np.uint32) << np.uint32(8))
     w.put(int(cache_bits > 0) | cache_bits << 1, 5 if cache_bits else 1)
     w.put(0, 1)  # one group
     copied = np.array(_repeats(green), np.int64).reshape(-1, 3)
@@ -908,7 +931,8 @@ def _write_green(w: Writer, green: np.ndarray, width: int, alpha: int, caching:
     for used, alphabet in ((symbol[literal], LITERALS + LENGTHS + (1 << cache_bits if cache_bits else 0)), (b, DISTANCES)):
         made.append(_lengths(np.bincount(used, minlength=alphabet), 15))
         if len(made) == 2:
-            w.put(0b0001 | 0b0001 << 4 | (1 | (alpha > 1) << 2 | alpha << 3) << 8, 19 if alpha > 1 else 12)  # red, blue, alpha
+            for still in (0, 0, alpha):  # red, blue, alpha
+                _write_single(w, still)
         _write_code(w, made[-1])
     (pattern, size), (far_pattern, far_size) = map(_pattern_table, made)
     value, n = pattern[symbol], size[symbol] * literal
