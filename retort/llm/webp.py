@@ -40,6 +40,7 @@ BLACK, CACHE_FACTOR = 0xFF000000, 0x1E35A7BD
 FRAME = 1 << 26  #: payload bytes in one image at most
 STRETCH = 1 << 14  #: bytes of the stream looked at together
 WIDE, SMALL, BLOCK = 1024, 4096, 9  #: width from which images get higher than wide; bytes from which there are blocks, and their side's log
+CACHE_BITS = 7  #: logarithm of the size of the greatest colour cache that is written; the codes of a larger one are longer than what it spares
 SAME, COPY = 8, 4096  #: equal bytes from which a back-reference is written; pixels in one at most
 
 
@@ -891,8 +892,9 @@ def _prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _cache_for(colours: np.ndarray) -> tuple[int, np.ndarray]:
-    """The smallest colour cache in which each of the colours has a place of its own, and their places; 0 if there is none."""
-    for n in range(max(1, (len(colours) - 1).bit_length()), 12):
+    """The smallest colour cache, of CACHE_BITS at most, in which each of the colours has a place of its own, and their
+    places; 0 if there is none."""
+    for n in range(max(1, (len(colours) - 1).bit_length()), CACHE_BITS + 1):
         slots = (colours * np.uint32(CACHE_FACTOR) >> np.uint32(32 - n)).astype(np.int64)
         if len(np.unique(slots)) == len(colours):
             return n, slots
