@@ -135,27 +135,32 @@ def _read_code(bits: Bits, alphabet: int) -> Code:
         bits.read(alphabet)
         return Code(code.symbols[flags])
     symbols, taken = (x.tolist() for x in _lookup(code))
-    mask, place, data, at, previous, found = (1 << code.width) - 1, bits.at, bits.data, 0, 8, []
+    mask, data, at, previous, found = (1 << code.width) - 1, bits.data, 0, 8, []
+    byte = (bits.at >> 3) + 8
+    window, have = int.from_bytes(data[byte - 8 : byte], "little") >> (bits.at & 7), 64 - (bits.at & 7)
     while at < alphabet and left:
         left -= 1
-        byte = place >> 3
-        window = int.from_bytes(data[byte : byte + 3], "little") >> (place & 7)
+        if have < 14:  # a code and its extra bits
+            window |= int.from_bytes(data[byte : byte + 5], "little") << have
+            byte, have = byte + 5, have + 40
         k = symbols[window & mask]
         n = taken[window & mask]
-        place += n
+        window >>= n
+        have -= n
         if k < 16:
             found.append(k)
             at += 1
             previous = k or previous
             continue
         value, base, extra = ((previous, 3, 2), (0, 3, 3), (0, 11, 7))[k - 16]
-        n = base + (window >> n & ((1 << extra) - 1))
-        place += extra
+        n = base + (window & ((1 << extra) - 1))
+        window >>= extra
+        have -= extra
         if at + n > alphabet:
             raise ValueError("too many code lengths")
         found += [value] * n
         at += n
-    bits.at = place
+    bits.at = 8 * byte - have
     if bits.at > 8 * len(bits.data):
         raise ValueError("the image ends too early")
     lengths[: len(found)] = found
@@ -272,6 +277,9 @@ def _lookup(code: Code) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(code.symbols.astype(np.int32), spans)[turned], np.repeat(code.lengths.astype(np.int32), spans)[turned]
 
 
+_EIGHT = np.arange(8, dtype=np.uint64)
+
+
 def _one_group(bits: Bits, width: int, total: int, codes: list[Code], cache_bits: int) -> np.ndarray:
     """Pixels of an image with one group of codes.
 
@@ -283,6 +291,8 @@ def _one_group(bits: Bits, width: int, total: int, codes: list[Code], cache_bits
     colour_of = np.zeros(1 << cache_bits, np.uint32)
     tables = [(_lookup(c), (1 << c.width) - 1) for c in codes]
     (green, green_n), green_mask = tables[0]
+    is_ref = (green >= LITERALS) & (green < LITERALS + LENGTHS)
+    still = not any(c.width for c in codes[1:4])
     # Extra bits and base of a length's or distance's prefix.
     prefix = np.arange(DISTANCES)
     extra = np.maximum(0, (prefix - 2) >> 1)
@@ -298,12 +308,9 @@ def _one_group(bits: Bits, width: int, total: int, codes: list[Code], cache_bits
         wide = np.ndarray((reach + 24,), "<u8", raw, strides=(1,))
         window = lambda pos: (wide[pos >> 3] >> (pos & 7).astype(np.uint64)).astype(np.int64)
         # At every position the next 32 bits.
-        ahead = (wide[:reach, None] >> np.arange(8, dtype=np.uint64)).ravel().astype(np.uint32)
-        k = ahead & np.uint32(green_mask)
-        symbol, step = green[k], green_n[k]
-        literal = symbol < LITERALS
-        stored = symbol >= LITERALS + LENGTHS
-        if all(c.width == 0 for c in codes[1:4]):
+        ahead = (wide[:reach, None] >> _EIGHT).astype(np.uint16).ravel() & np.uint16(green_mask)
+        step = green_n[ahead]
+        if still:
             pixel = np.uint32(int(codes[1].symbols[0]) << 16 | int(codes[2].symbols[0]) | int(codes[3].symbols[0]) << 24)
         else:
             pos = np.arange(8 * reach)
@@ -312,12 +319,12 @@ def _one_group(bits: Bits, width: int, total: int, codes: list[Code], cache_bits
                 k = window(end) & mask
                 pixel |= table[k].astype(np.uint32) << np.uint32(shift)
                 end += n[k]
-            step = np.where(literal, end - pos, step)
-        refs = np.flatnonzero(~literal & ~stored)
+            step = np.where(green[ahead] < LITERALS, end - pos, step)
+        refs = np.flatnonzero(is_ref[ahead])
         length = distance = np.zeros(0, int)
         if len(refs):
-            kind = symbol[refs] - LITERALS
-            end = refs + green_n[ahead[refs] & np.uint32(green_mask)]
+            kind = green[ahead[refs]] - LITERALS
+            end = refs + green_n[ahead[refs]]
             length = base[kind] + (window(end) & ((1 << extra[kind]) - 1))
             end += extra[kind]
             ((table, n), mask) = tables[4]
@@ -329,9 +336,9 @@ def _one_group(bits: Bits, width: int, total: int, codes: list[Code], cache_bits
         # Where tokens begin, until the stretch or the image ends.
         begin, stop = bits.at & 7, 8 * reach
         if not step.any():  # every pixel is the same and takes no bits
-            if not literal[0]:
+            if green[0] >= LITERALS:
                 raise ValueError("a back-reference outside the image")
-            out[at:] = np.uint32(symbol[0] << 8) | pixel.ravel()[0]
+            out[at:] = np.uint32(green[0] << 8) | pixel.ravel()[0]
             return out
         left = total - at
         then = np.append(np.minimum(np.arange(stop) + step, stop), stop).astype(np.int32)
@@ -347,24 +354,24 @@ def _one_group(bits: Bits, width: int, total: int, codes: list[Code], cache_bits
         for k in (2, 1, 0):
             chain = np.stack([chain, strides[k][chain]], 1).ravel()
         chain = chain[: np.searchsorted(chain, stop)]
-        whole = literal[chain] | stored[chain]
+        symbol, whole = green[ahead[chain]], ~is_ref[ahead[chain]]
         place = np.searchsorted(refs, chain[~whole])
         size = np.ones(len(chain), np.int64)
         size[~whole] = length[place]
         ends = np.cumsum(size)
         used = min(len(chain), int(np.searchsorted(ends, left)) + 1)
-        chain, ends, size, whole = chain[:used], ends[:used], size[:used], whole[:used]
+        chain, ends, size, whole, symbol = chain[:used], ends[:used], size[:used], whole[:used], symbol[:used]
         bits.at = 8 * first + int(chain[-1] + step[chain[-1]])
         if bits.at > 8 * len(bits.data):
             raise ValueError("the image ends too early")
         if ends[-1] > left:
             raise ValueError("a back-reference outside the image")
         starts = at + ends - size
-        plain, to = chain[whole], starts[whole]
-        colour = symbol[plain].astype(np.uint32) << np.uint32(8) | (pixel[plain] if pixel.ndim else pixel)
+        plain, to, symbol = chain[whole], starts[whole], symbol[whole]
+        colour = symbol.astype(np.uint32) << np.uint32(8) | (pixel[plain] if pixel.ndim else pixel)
         if cache_bits:
-            held = stored[plain]
-            slot = np.where(held, symbol[plain] - LITERALS - LENGTHS, (colour * np.uint32(CACHE_FACTOR) >> np.uint32(32 - cache_bits)).astype(np.int32))
+            held = symbol >= LITERALS
+            slot = np.where(held, symbol - LITERALS - LENGTHS, (colour * np.uint32(CACHE_FACTOR) >> np.uint32(32 - cache_bits)).astype(np.int32))
             k = np.flatnonzero(~held)[::-1]  # the first of each comes last, and stays
             new = first_at[slot[k]] == total
             first_at[slot[k][new]], colour_of[slot[k][new]] = to[k][new], colour[k][new]
@@ -605,16 +612,22 @@ class Writer:
             self.value >>= 8 * whole
             self.n -= 8 * whole
 
-    def flags(self, bits: np.ndarray) -> None:
-        """Many bits at once."""
-        raw = np.packbits(bits, bitorder="little").tobytes()
-        if self.n & 7:
-            self.put(int.from_bytes(raw, "little"), len(bits))
-            return
-        self.parts.append(self.value.to_bytes(self.n >> 3, "little"))
-        whole = len(bits) >> 3
-        self.parts.append(raw[:whole])
-        self.value, self.n = (int.from_bytes(raw[whole:], "little"), len(bits) & 7)
+    def codes(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        """Many values, each of fewer than 64 bits and more than none: summed up in words, where no two overlap."""
+        whole, off = self.n >> 3, self.n & 7
+        self.parts.append((self.value & ((1 << 8 * whole) - 1)).to_bytes(whole, "little"))
+        ends = np.cumsum(sizes) + off
+        begin, values = ends - sizes, values.astype(np.uint64)
+        word, bit = begin >> 6, (begin & 63).astype(np.uint64)
+        words = np.zeros((int(ends[-1]) >> 6) + 2, "<u8")
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        words[word[first]] = np.add.reduceat(values << bit, first)
+        over = np.flatnonzero((begin & 63) + sizes > 64)
+        words[word[over] + 1] |= values[over] >> (np.uint64(64) - bit[over])
+        words[0] |= np.uint64(self.value >> 8 * whole)
+        raw, total = words.tobytes(), int(ends[-1])
+        self.parts.append(raw[: total >> 3])
+        self.value, self.n = raw[total >> 3] & ((1 << (total & 7)) - 1), total & 7
 
     def done(self) -> bytes:
         return b"".join(self.parts) + self.value.to_bytes((self.n + 7) >> 3, "little")
@@ -944,15 +957,9 @@ def _write_green(w: Writer, green: np.ndarray, width: int, alpha: int, caching:
         more = more | v << bits
         bits = bits + m
     value[starts], n[starts] = more, bits
-    end = np.cumsum(n)
-    place = np.arange(int(end[-1])) - np.repeat(end - n, n)
-    if len(place):
-        flags = (np.repeat(value, n) >> place & 1).astype(np.uint8)
-        head = -w.n % 8
-        for bit in flags[:head].tolist():
-            w.put(bit, 1)
-        if len(flags) > head:
-            w.flags(flags[head:])
+    told = np.flatnonzero(n)
+    if len(told):
+        w.codes(value[told], n[told])
 
 
 def _entropy(values: np.ndarray) -> float:
