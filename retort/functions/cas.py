@@ -7,7 +7,10 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_NOTHING = ("", "nan", "none", "null", "n/a")
+#: What may stand before a number, and an unhyphenated or hyphenated number, as groups of its three parts; other
+#: characters than letters between them don't count.
+_LABEL = r"(?i)^(?:casrn|cas#|cas)[\s:]*"
+_PARTS = r"^(\d{2,7})(-?)(\d{2})\2(\d)$"
 
 
 def checksum_ok(cas: Column) -> Column:
@@ -21,27 +24,20 @@ def checksum_ok(cas: Column) -> Column:
 
 
 def clean(value: Column) -> Column:
-    """The number with its hyphens, or null if it isn't one or its check digit is wrong."""
-    text = F.trim(value.cast("string"))
-    bare = F.trim(F.regexp_replace(text, r"(?i)^(casrn|cas#|cas)[\s:]*", ""))
-    kept = F.regexp_replace(bare, r"[^0-9-]", "")
-    n = F.length(kept)
-    spaced = F.concat_ws("-", F.substring(kept, F.lit(1), n - 3), F.substring(kept, n - 2, F.lit(2)), F.substring(kept, n, F.lit(1)))
-    number = F.when(~kept.contains("-") & (n >= 5), spaced).otherwise(kept)
-    good = ~F.lower(text).isin(*_NOTHING) & ~bare.rlike("[a-zA-Z]") & number.rlike(r"^\d{2,7}-\d{2}-\d$") & checksum_ok(number)
-    return F.when(good, number)
+    """The number with its hyphens, or null if it isn't one (a letter is left after the label, or the parts have other
+    lengths) or its check digit is wrong."""
+    rest = F.regexp_replace(F.trim(value.cast("string")), _LABEL, "")
+    kept = F.when(~rest.rlike("[a-zA-Z]"), F.regexp_replace(rest, "[^0-9-]", ""))
+    number = F.when(kept.rlike(_PARTS), F.regexp_replace(kept, _PARTS, "$1-$3-$4"))
+    return F.when(checksum_ok(number), number)
 
 
 def clean_text(text: str | None) -> str | None:
     """As clean(), for a single text outside of Spark."""
-    raw = (text or "").strip()
-    bare = re.sub(r"(?i)^(casrn|cas#|cas)[\s:]*", "", raw).strip()
-    if raw.lower() in _NOTHING or re.search("[a-zA-Z]", bare):
+    rest = re.sub(_LABEL, "", (text or "").strip())
+    found = re.match(_PARTS, "".join(re.findall("[0-9-]", rest)), re.ASCII)
+    if not found or re.search("[a-zA-Z]", rest):
         return None
-    kept = re.sub("[^0-9-]", "", bare)
-    if "-" not in kept and len(kept) >= 5:
-        kept = f"{kept[:-3]}-{kept[-3:-1]}-{kept[-1]}"
-    if not re.fullmatch(r"[0-9]{2,7}-[0-9]{2}-[0-9]", kept):
-        return None
-    *rest, check = (int(d) for d in kept if d != "-")
-    return kept if sum(i * d for i, d in enumerate(reversed(rest), 1)) % 10 == check else None
+    body, check = found[1] + found[3], int(found[4])
+    weighted = sum(place * int(digit) for place, digit in zip(range(len(body), 0, -1), body, strict=True))
+    return f"{found[1]}-{found[3]}-{check}" if weighted % 10 == check else None

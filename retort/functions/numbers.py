@@ -22,21 +22,34 @@ def to_number(c: Column, kind: DataType) -> Column:
     return F.when(~F.isnan(d), d) if isinstance(kind, FractionalType) else d
 
 
+def _without(c: Column, which: str) -> Column:
+    """Text without any of these characters."""
+    return F.translate(c, which, "")
+
+
+def _led(c: Column, which: str) -> Column:
+    """Text without these characters at its start."""
+    return F.ltrim(c, F.lit(which))
+
+
 def _plain_figures(c: Column) -> Column:
     """Of text and whole numbers."""
-    text = F.regexp_replace(F.split(F.lower(F.trim(c.cast("string"))), "e")[0], r"^-+", "")
-    digits = F.regexp_replace(F.regexp_replace(text, r"\.", ""), "^0+", "")
-    return F.greatest(F.lit(1), F.length(digits))
+    mantissa = F.substring_index(F.lower(F.trim(c.cast("string"))), "e", 1)
+    return F.greatest(F.lit(1), F.length(_led(_led(_without(mantissa, "."), "-"), "0")))
 
 
 def _digits(text: Column, v: Column) -> Column:
-    """Digits of the shortest text of a double v >= 0, given the JVM's text, which may have a digit more than needed."""
-    mantissa = F.when(text.contains("E"), F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", "")).otherwise(text)
-    found = F.length(F.regexp_replace(F.regexp_replace(mantissa, r"\.", ""), "^0+", ""))
-    short = F.format_string("%.15e", v)
-    fewer = F.length(F.regexp_replace(F.regexp_replace(F.split(short, "e")[0], r"\.", ""), "0+$", ""))
-    sure = F.length(text) < 18
-    return F.when(sure, found).when(short.try_cast("double") == v, fewer).otherwise(F.least(found, F.lit(17)))
+    """Digits of the shortest text of a double v >= 0, given the JVM's text, which may have a digit or two
+    more than needed (of numbers below 1e-307, whose text is short all the same, one more may count)."""
+    mantissa = F.substring_index(text, "E", 1)
+    whole = F.when(text.contains("E") & mantissa.endswith(".0"), F.substring(mantissa, 1, 1)).otherwise(mantissa)
+    found = F.length(_led(_without(whole, "."), "0"))
+    sure, out = F.length(text) < 18, F.least(found, F.lit(17))
+    for places in (15, 14):  # the JVM's text isn't always the shortest one
+        short = F.format_string(f"%.{places}e", v)
+        fewer = F.length(F.rtrim(_without(F.substring_index(short, "e", 1), "."), F.lit("0")))
+        out = F.when(short.try_cast("double") == v, fewer).otherwise(out)
+    return F.when(sure, found).otherwise(out)
 
 
 def _exponent(text: Column) -> Column:
@@ -69,15 +82,23 @@ def with_figures(df: DataFrame, column: str, out: str) -> DataFrame:
 
 
 def round_figures(v: Column, figures: Column) -> Column:
-    """v to so many significant figures, half to even, never coarser than to whole numbers; 0 and null stay."""
+    """v to so many significant figures, half to even, never coarser than to whole numbers; 0, null and
+    numbers too small to be scaled stay."""
     decimals = figures - 1 - F.floor(F.log10(F.abs(v)))
     scale = F.pow(F.lit(10.0), decimals.cast("double"))
     return (
         F.when(v == 0, F.lit(0.0)).when(v.isin(float("inf"), float("-inf")), v)
-        .when(decimals <= 0, F.rint(v)).otherwise(F.rint(v * scale) / scale)
+        .when(decimals <= 0, F.rint(v)).when(decimals > 300, v).otherwise(F.rint(v * scale) / scale)
     )
 
 
+def settled(c: Column) -> Column:
+    """c, computed where it stands: as the expression isn't deterministic, Catalyst copies it into no predicate above.
+
+    Predicates on other columns of the same projection aren't pushed through it either; they belong before it."""
+    return F.when(F.rand(0) + 1 > 0, c)  # always so, but no rule folds it
+
+
 def truthy(c: Column) -> Column:
     """Boolean from booleans, numbers or text: true, 1 and their spellings; false, 0 and theirs; else null."""
     text = F.lower(F.trim(c.cast("string")))

@@ -6,7 +6,7 @@ import threading
 import time
 from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Protocol
 
 import pandas as pd
@@ -71,8 +71,9 @@ class GivenUp(Exception):
 class CallConnector:
     """A service asked once per identifier: fetch(identifier, kind, properties) gives a dict.
 
-    Calls run in threads inside each task; parallel says how many tasks there are at most. A call is tried retries
-    times with a growing delay; GivenUp ends it at once. The result is persisted by enrich(), so that nothing is asked
+    Calls run in threads inside each task; parallel says how many tasks there are at most. Interval and batch_limit hold
+    for the whole job: each of several tasks waits so many times as long, and takes its share of the limit. A call is
+    tried retries times with a growing delay; GivenUp ends it at once. The result is persisted by enrich(), so that nothing is asked
     twice."""
 
     source: str
@@ -99,11 +100,13 @@ class CallConnector:
         return {}
 
     def lookup(self, ids: DataFrame, kind: str, properties: list[str]) -> DataFrame:
+        share = replace(self, interval=self.interval * self.parallel, batch_limit=-(-self.batch_limit // self.parallel))
+
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            pace = Pace(self.batch_limit, self.rest)
+            pace = Pace(share.batch_limit, share.rest)
             with ThreadPoolExecutor(self.threads) as pool:
                 for b in batches:
-                    got = list(pool.map(lambda k: self.ask(k, kind, properties, pace), b["key"]))
+                    got = list(pool.map(lambda k: share.ask(k, kind, properties, pace), b["key"]))
                     rows = [[k, *[None if g.get(p) is None else str(g[p]) for p in properties]] for k, g in zip(b["key"], got, strict=True)]
                     yield pd.DataFrame(rows, columns=["key", *properties], dtype=object)
 

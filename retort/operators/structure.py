@@ -5,6 +5,7 @@ Rules are compiled once per Python worker, and within a batch every distinct str
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -115,6 +116,9 @@ def substructure_column(smiles: Column, patterns: list[str], is_smarts: bool = F
 def substructure_search(df: DataFrame, smiles: str, patterns: str | list[str], is_smarts: bool = False) -> DataFrame:
     """Add Substructure_<pattern> for each pattern; a column from an earlier search is replaced."""
     patterns = [patterns] if isinstance(patterns, str) else list(dict.fromkeys(patterns))
+    for p in patterns:
+        if _compile(p, is_smarts) is None:
+            warnings.warn(f"no pattern that can be searched for, it matches nothing: {p}", stacklevel=2)
     found = df.withColumn("__hits", substructure_column(name(smiles), patterns, is_smarts))
     return found.withColumns({f"Substructure_{p}": F.col("__hits")[i] for i, p in enumerate(patterns)}).drop("__hits")
 

@@ -9,76 +9,70 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.formula import compile_formula, parse, uses_weight
-from ..functions.numbers import name, round_figures, to_number, with_figures
+from ..functions.numbers import name, round_figures, settled, to_number, with_figures
 
-# The built-in conversions. Each line is a unit, the unit it becomes, and the formula.
+# The built-in conversions, by unit and the unit it becomes.
 DEFAULT_RULES = {
-    (a, b): f
-    for a, b, f in (
-        line.split(" | ")
-        for line in """
-g/L | mg/L | x * 1000
-mg/L | g/L | x / 1000
-mg/L | ug/L | x * 1000
-mg/L | µg/L | x * 1000
-ug/L | mg/L | x / 1000
-µg/L | mg/L | x / 1000
-mg/L | ng/L | x * 1000000
-ng/L | mg/L | x / 1000000
-ml/L | ul/L | x * 1000
-ul/L | ml/L | x / 1000
-% | ppm | x * 10000
-ppm | % | x / 10000
-vol% | ppm | x * 10000
-wt% | ppm | x * 10000
-ppm | ppb | x * 1000
-ppb | ppm | x / 1000
-% | g/L | x * 10
-% | mg/L | x * 10000
-d | h | x * 24
-day | h | x * 24
-h | d | x / 24
-h | min | x * 60
-min | h | x / 60
-d | min | x * 1440
-min | s | x * 60
-s | min | x / 60
-mmHg | Pa | x * 133.322
-mm Hg | Pa | x * 133.322
-Torr | Pa | x * 133.322
-psi | Pa | x * 6894.76
-atm | Pa | x * 101325
-kPa | Pa | x * 1000
-°C | K | x + 273.15
-degC | K | x + 273.15
-K | °C | x - 273.15
-°F | °C | (x - 32) * 5/9
-degF | °C | (x - 32) * 5/9
-°C | °F | (x * 9/5) + 32
-mM | M | x / 1000
-uM | M | x / 1000000
-µM | M | x / 1000000
-nM | M | x / 1000000000
-M | mM | x * 1000
-M | uM | x * 1000000
-M | g/L | x * mw
-M | mg/L | x * mw * 1000
-mM | g/L | (x * mw) / 1000
-mM | mg/L | x * mw
-uM | mg/L | (x * mw) / 1000
-uM | ug/L | x * mw
-µM | ug/L | x * mw
-nM | ng/L | x * mw
-g/L | M | x / mw
-mg/L | M | x / (mw * 1000)
-g/L | mM | (x * 1000) / mw
-mg/L | mM | x / mw
-mg/L | uM | (x * 1000) / mw
-ug/L | uM | x / mw
-µg/L | µM | x / mw
-ng/L | nM | x / mw
-""".strip().split("\n")
-    )
+    ("g/L", "mg/L"): "x * 1000",
+    ("mg/L", "g/L"): "x / 1000",
+    ("mg/L", "ug/L"): "x * 1000",
+    ("mg/L", "µg/L"): "x * 1000",
+    ("ug/L", "mg/L"): "x / 1000",
+    ("µg/L", "mg/L"): "x / 1000",
+    ("mg/L", "ng/L"): "x * 1000000",
+    ("ng/L", "mg/L"): "x / 1000000",
+    ("ml/L", "ul/L"): "x * 1000",
+    ("ul/L", "ml/L"): "x / 1000",
+    ("%", "ppm"): "x * 10000",
+    ("ppm", "%"): "x / 10000",
+    ("vol%", "ppm"): "x * 10000",
+    ("wt%", "ppm"): "x * 10000",
+    ("ppm", "ppb"): "x * 1000",
+    ("ppb", "ppm"): "x / 1000",
+    ("%", "g/L"): "x * 10",
+    ("%", "mg/L"): "x * 10000",
+    ("d", "h"): "x * 24",
+    ("day", "h"): "x * 24",
+    ("h", "d"): "x / 24",
+    ("h", "min"): "x * 60",
+    ("min", "h"): "x / 60",
+    ("d", "min"): "x * 1440",
+    ("min", "s"): "x * 60",
+    ("s", "min"): "x / 60",
+    ("mmHg", "Pa"): "x * 133.322",
+    ("mm Hg", "Pa"): "x * 133.322",
+    ("Torr", "Pa"): "x * 133.322",
+    ("psi", "Pa"): "x * 6894.76",
+    ("atm", "Pa"): "x * 101325",
+    ("kPa", "Pa"): "x * 1000",
+    ("°C", "K"): "x + 273.15",
+    ("degC", "K"): "x + 273.15",
+    ("K", "°C"): "x - 273.15",
+    ("°F", "°C"): "(x - 32) * 5/9",
+    ("degF", "°C"): "(x - 32) * 5/9",
+    ("°C", "°F"): "(x * 9/5) + 32",
+    ("mM", "M"): "x / 1000",
+    ("uM", "M"): "x / 1000000",
+    ("µM", "M"): "x / 1000000",
+    ("nM", "M"): "x / 1000000000",
+    ("M", "mM"): "x * 1000",
+    ("M", "uM"): "x * 1000000",
+    ("M", "g/L"): "x * mw",
+    ("M", "mg/L"): "x * mw * 1000",
+    ("mM", "g/L"): "(x * mw) / 1000",
+    ("mM", "mg/L"): "x * mw",
+    ("uM", "mg/L"): "(x * mw) / 1000",
+    ("uM", "ug/L"): "x * mw",
+    ("µM", "ug/L"): "x * mw",
+    ("nM", "ng/L"): "x * mw",
+    ("g/L", "M"): "x / mw",
+    ("mg/L", "M"): "x / (mw * 1000)",
+    ("g/L", "mM"): "(x * 1000) / mw",
+    ("mg/L", "mM"): "x / mw",
+    ("mg/L", "uM"): "(x * 1000) / mw",
+    ("ug/L", "uM"): "x / mw",
+    ("µg/L", "µM"): "x / mw",
+    ("ng/L", "nM"): "x / mw",
 }
 
 Provider = Callable[[str, str], str | None]
@@ -160,12 +154,13 @@ def standardize(df: DataFrame, target: str, unit: str, standard: str | None, rul
         df = weights(df, smiles, name(unit).isin(*heavy), "__mw")
         weight = F.col("__mw")
     x, u = F.col("__x"), name(unit)
-    df = with_figures(df, target, "__figures").withColumn("__x", to_number(name(target), df.schema[target].dataType))
+    df = df.withColumn("__x", to_number(name(target), df.schema[target].dataType))
     converted = F.lit(None).cast("double")
     for key, f in formulas.items():
         converted = F.when(u == key, compile_formula(f, x, weight)).otherwise(converted)
-    df = df.withColumn("__converted", converted)
-    value = F.when(u == standard, x).otherwise(round_figures(F.col("__converted"), F.col("__figures")))
-    done = df.withColumn(new_target, value).withColumn(new_unit, F.lit(standard))
-    v = name(new_target)
-    return done.where(v.isNotNull() & ~F.isnan(v)).select(*[name(c) for c in [*columns, new_target, new_unit]])
+    # Rows go before anything is rounded: a predicate on the rounded value would be pushed down with all that it is made of.
+    df = df.withColumn("__value", F.when(u == standard, x).otherwise(converted))
+    df = df.where(F.col("__value").isNotNull() & ~F.isnan("__value"))
+    df = with_figures(df, target, "__figures")
+    value = F.when(u == standard, F.col("__value")).otherwise(round_figures(F.col("__value"), F.col("__figures")))
+    return df.withColumn(new_target, settled(value)).withColumn(new_unit, F.lit(standard)).select(*[name(c) for c in [*columns, new_target, new_unit]])

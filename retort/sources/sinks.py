@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from pathlib import PurePosixPath
 
@@ -14,6 +15,7 @@ from ..chem.molfile import write_record
 from ..functions.numbers import name
 from ..roles import Roles
 
+SHEET_ROWS = 1_048_575  #: of data in a sheet: a fixed value of the format, less the header
 #: Columns that an export is likely to want, by what their names hold.
 RECOMMENDED = ("Canonical SMILES", "InChI", "Is Valid", "from_web", "Substructure_", "Deduplication Strategy")
 
@@ -27,7 +29,10 @@ def recommended_columns(df: DataFrame, roles: Roles, conditions: list[str] | Non
 def save(df: DataFrame, path: str, roles: Roles | None = None, columns: list[str] | None = None, single: bool = False, mode: str = "error") -> str:
     """Write by extension and return the path; an unknown one gets .csv. A folder of part files, or one with single.
 
-    Columns that don't exist are left out. SMI holds structure and id only."""
+    Columns that don't exist are left out, with a warning. SMI holds structure and id only. A sheet holds SHEET_ROWS rows
+    at most, which come to the driver; more are an error."""
+    if lost := [c for c in columns or [] if c not in df.columns]:
+        warnings.warn(f"no such columns: {', '.join(lost)}", stacklevel=2)
     roles = roles or Roles()
     extension = PurePosixPath(path).suffix.lower()
     if extension not in (".csv", ".txt", ".tsv", ".xls", ".xlsx", ".sdf", ".smi"):
@@ -39,7 +44,10 @@ def save(df: DataFrame, path: str, roles: Roles | None = None, columns: list[str
         sep = "," if extension == ".csv" else "\t"
         chosen.write.mode(mode).option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').csv(path)
     elif extension in (".xls", ".xlsx"):
-        chosen.toPandas().to_excel(path, index=False)
+        rows = chosen.limit(SHEET_ROWS + 1).toPandas()
+        if len(rows) > SHEET_ROWS:
+            raise ValueError(f"more than {SHEET_ROWS} rows don't fit a sheet; write .csv")
+        rows.to_excel(path, index=False)
     elif extension == ".smi":
         kept = [c for c in (roles.structure, roles.id) if c and c in df.columns]
         df.select(*[name(c) for c in kept]).write.mode(mode).option("header", True).option("sep", "\t").option("quote", "").csv(path)

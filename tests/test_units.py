@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pytest
@@ -8,6 +9,7 @@ from retort.functions.formula import compile_formula, parse
 from retort.functions.numbers import round_figures, significant_figures, to_number, truthy
 from retort.operators.structure import add_weights
 from retort.operators.units import UnitRules, distinct_units, standardize
+from retort.plans.queries import QUERIES
 
 
 def model_figures(text: str) -> int:
@@ -96,3 +98,25 @@ def test_casts(spark):
     assert [r.n for r in df.select(to_number(F.col("v"), df.schema["v"].dataType).alias("n")).collect()] == [1.0, 2.5, None, None, 1000.0, None, None, None, None]
     df = spark.createDataFrame([(t,) for t in ["True", "1", "false", "0", "yes", None]], "v string")
     assert [r.n for r in df.select(truthy(F.col("v")).alias("n")).collect()] == [True, True, False, False, None, None]
+
+
+@pytest.mark.parametrize("query", ["unit_convert_linear", "unit_convert_mw", "unit_convert_affine", "sigfig_round", "dedup_conditions_full"])
+def test_code_is_generated_for_the_whole_plan(spark, query):
+    """Without the fallback to interpretation, code beyond the JVM's limit is an error."""
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        QUERIES[query](spark, "/root/testdata/sf0.001").write.format("noop").mode("overwrite").save()
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+
+
+def test_figures_of_many_doubles(spark):
+    rng = random.Random(4)
+    values = [1.0 * rng.choice([1, 1e3, 1e-6, 1e9, 1e17, 1e-300]) * rng.choice([rng.random(), round(rng.random(), 3), rng.randrange(1000)]) for _ in range(3000)]
+    values += [0.0, 1.0, 1e22, 1.7976931348623157e308, 2.0**70, 1e7, 9999999.0, 123456789012345680.0, 100.0]
+    frame = spark.createDataFrame([(v,) for v in values], "v double")
+    got = frame.select("v", significant_figures(F.col("v"), frame.schema["v"].dataType).alias("n")).collect()
+    assert len(got) == len(values)
+    for r in got:
+        digits = repr(r.v).split("e")[0].replace(".", "").lstrip("0")
+        assert r.n == max(1, len(digits)), r
