@@ -161,6 +161,23 @@ def preprocess_parallel(spark, sf_dir):
     return got.select("p_partkey", "smiles", name(VALID).alias("valid"), name(LOG).alias("log"), name(CANONICAL).alias("canonical"))
 
 
+_TAILS = ("Cl", "[Na+]", "CO", "O")
+
+
+@query(f"""SELECT p_partkey, true AS valid, heavy, heavy + 2 * (a + b + c) + 7 AS total
+FROM (SELECT p_partkey, a, b, c, (a + b + c + 7)::INTEGER AS heavy FROM
+  (SELECT p_partkey, 1 + p_partkey % 17 AS a, 1 + (p_partkey // 17) % 13 AS b, 1 + (p_partkey // 221) % 11 AS c FROM part))""")
+def preprocess_distinct(spark, sf_dir):
+    """Structures that mostly differ from each other (9,724 in turn), with counter-ions and solvents to strip."""
+    k = F.col("p_partkey")
+    chain = lambda n: F.repeat(F.lit("C"), n.cast("int"))
+    a, b, c = 1 + k % 17, 1 + F.floor(k / 17) % 13, 1 + F.floor(k / 221) % 11
+    tail = F.element_at(F.array(*map(F.lit, _TAILS)), (F.floor(k / 2431) % len(_TAILS) + 1).cast("int"))
+    part = table(spark, sf_dir, "part").select("p_partkey", F.concat(chain(a), F.lit("N("), chain(b), F.lit(")c1ccc("), chain(c), F.lit(")cc1."), tail).alias("smiles"))
+    got = structure.preprocess(part, "smiles").withColumn("n", structure.atom_counts_column(name(CANONICAL)))
+    return got.select("p_partkey", name(VALID).alias("valid"), "n.heavy", F.col("n.total").cast("long").alias("total"))
+
+
 @query(f"""SELECT 'Valid: ' || count(heavy) || ' | Invalid: ' || count(*) - count(heavy) ||
   ' | Rules: [isotopes, hydrogens, salts, solvents, radicals, neutralize]' AS details FROM {_COUNTED_SQL}""")
 def audit_details(spark, sf_dir):
