@@ -46,9 +46,16 @@ def preprocess_column(smiles: Column, options: Options | None = None, rules: Rul
 
 
 def preprocess(df: DataFrame, smiles: str, options: Options | None = None, rules: Rules | None = None, steps: list[tuple[str, Step]] | None = None, n_jobs: int | None = None) -> DataFrame:
-    """Set Is Valid, Processing Log and Canonical SMILES; no row is dropped. n_jobs spreads rows over so many tasks."""
+    """Set Is Valid, Processing Log and Canonical SMILES; no row is dropped. n_jobs spreads rows over so many tasks;
+    without it, a table that would be read in fewer parts than there are cores, by the optimizer's estimate of its size,
+    is spread over them, since a structure costs milliseconds and moving it next to nothing."""
     if n_jobs and n_jobs > 0:
         df = df.repartition(n_jobs)
+    elif not df.isStreaming:
+        state, cores = df.sparkSession._jsparkSession.sessionState(), df.sparkSession.sparkContext.defaultParallelism
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        if size < cores * state.conf().filesMaxPartitionBytes():
+            df = df.repartition(cores)
     done = df.withColumn("__r", preprocess_column(name(smiles), options, rules, steps))
     return done.withColumns({CANONICAL: F.col("__r.smiles"), LOG: F.col("__r.log"), VALID: F.col("__r.is_valid")}).drop("__r")
 
