@@ -53,7 +53,7 @@ def preprocess(df: DataFrame, smiles: str, options: Options | None = None, rules
         df = df.repartition(n_jobs)
     elif not df.isStreaming:
         state, cores = df.sparkSession._jsparkSession.sessionState(), df.sparkSession.sparkContext.defaultParallelism
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
         if size < cores * state.conf().filesMaxPartitionBytes():
             df = df.repartition(cores)
     done = df.withColumn("__r", preprocess_column(name(smiles), options, rules, steps))
