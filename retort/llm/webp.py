@@ -66,7 +66,7 @@ class Code:
     """A canonical prefix code from its code lengths. A single symbol takes no bits."""
 
     def __init__(self, lengths: np.ndarray) -> None:
-        used = np.flatnonzero(lengths)
+        used = lengths.nonzero()[0]
         self.symbols = used[np.argsort(lengths[used], kind="stable")]
         self.lengths = np.sort(lengths[used]) if len(used) > 1 else np.zeros(len(used), int)
         if not len(used):
@@ -320,7 +320,7 @@ def _one_group(bits: Bits, width: int, total: int, codes: list[Code], cache_bits
                 pixel |= table[k].astype(np.uint32) << np.uint32(shift)
                 end += n[k]
             step = np.where(green[ahead] < LITERALS, end - pos, step)
-        refs = np.flatnonzero(is_ref[ahead])
+        refs = is_ref[ahead].nonzero()[0]
         length = distance = np.zeros(0, int)
         if len(refs):
             kind = green[ahead[refs]] - LITERALS
@@ -341,7 +341,8 @@ def _one_group(bits: Bits, width: int, total: int, codes: list[Code], cache_bits
             out[at:] = np.uint32(green[0] << 8) | pixel.ravel()[0]
             return out
         left = total - at
-        then = np.append(np.minimum(np.arange(stop) + step, stop), stop).astype(np.int32)
+        then = np.full(stop + 1, stop, np.int32)
+        np.minimum(np.arange(stop, dtype=np.int32) + step, stop, out=then[:stop], casting="unsafe")
         strides = [then]
         for _ in range(3):
             strides.append(strides[-1][strides[-1]])
@@ -372,7 +373,7 @@ def _one_group(bits: Bits, width: int, total: int, codes: list[Code], cache_bits
         if cache_bits:
             held = symbol >= LITERALS
             slot = np.where(held, symbol - LITERALS - LENGTHS, (colour * np.uint32(CACHE_FACTOR) >> np.uint32(32 - cache_bits)).astype(np.int32))
-            k = np.flatnonzero(~held)[::-1]  # the first of each comes last, and stays
+            k = (~held).nonzero()[0][::-1]  # the first of each comes last, and stays
             new = first_at[slot[k]] == total
             first_at[slot[k][new]], colour_of[slot[k][new]] = to[k][new], colour[k][new]
             shared = (colour_of[slot[~held]] != colour[~held]).any()
@@ -597,6 +598,14 @@ def decode(data: bytes) -> np.ndarray:
     return first
 
 
+def _changes(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    new = np.empty(len(values), bool)
+    new[:1] = True
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    return new.nonzero()[0]
+
+
 class Writer:
     """Bits, least significant first."""
 
@@ -620,9 +629,9 @@ class Writer:
         begin, values = ends - sizes, values.astype(np.uint64)
         word, bit = begin >> 6, (begin & 63).astype(np.uint64)
         words = np.zeros((int(ends[-1]) >> 6) + 2, "<u8")
-        first = np.flatnonzero(np.diff(word, prepend=-1))
+        first = _changes(word)
         words[word[first]] = np.add.reduceat(values << bit, first)
-        over = np.flatnonzero((begin & 63) + sizes > 64)
+        over = ((begin & 63) + sizes > 64).nonzero()[0]
         words[word[over] + 1] |= values[over] >> (np.uint64(64) - bit[over])
         words[0] |= np.uint64(self.value >> 8 * whole)
         raw, total = words.tobytes(), int(ends[-1])
@@ -636,7 +645,7 @@ class Writer:
 def _lengths(counts: np.ndarray, limit: int) -> np.ndarray:
     """Code lengths by Huffman's method, with flatter counts until none is over the limit."""
     lengths = np.zeros(len(counts), int)
-    used = np.flatnonzero(counts)
+    used = counts.nonzero()[0]
     if len(used) < 2:
         lengths[used[0] if len(used) else 0] = 1
         return lengths
@@ -677,7 +686,7 @@ def _pattern_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _bit_patterns(lengths: np.ndarray) -> dict[int, tuple[int, int]]:
     pattern, size = _pattern_table(lengths)
-    return {s: (int(pattern[s]), int(size[s])) for s in np.flatnonzero(lengths).tolist()}
+    return {s: (int(pattern[s]), int(size[s])) for s in lengths.nonzero()[0].tolist()}
 
 
 def _write_single(w: Writer, symbol: int) -> None:
@@ -686,7 +695,7 @@ def _write_single(w: Writer, symbol: int) -> None:
 
 
 def _write_code(w: Writer, lengths: np.ndarray) -> None:
-    used = np.flatnonzero(lengths).tolist()
+    used = lengths.nonzero()[0].tolist()
     if len(used) == 1 and used[0] < 256:
         _write_single(w, used[0])
         return
@@ -698,8 +707,9 @@ def _write_code(w: Writer, lengths: np.ndarray) -> None:
         w.put(used[1], 8)
         return
     tokens, previous = [], 8
-    edges = np.flatnonzero(np.diff(lengths, prepend=-1))
-    for v, run in zip(lengths[edges].tolist(), np.diff(edges, append=len(lengths)).tolist(), strict=True):
+    edges = _changes(lengths)
+    values, edges = lengths[edges].tolist(), [*edges.tolist(), len(lengths)]
+    for v, run in zip(values, map(int.__sub__, edges[1:], edges), strict=True):
         if v and v != previous:
             tokens.append((v, 0, 0))
             previous, run = v, run - 1
@@ -875,11 +885,11 @@ def _repeats(values: np.ndarray) -> list[tuple[int, int, int]]:
         order = (np.sort(keys * np.uint64(0x9E3779B97F4A7C15) & ~places | np.arange(n, dtype=np.uint64)) & places).astype(np.int64)
     else:
         order = np.argsort(keys, kind="stable")
-    again = np.flatnonzero(keys[order[1:]] == keys[order[:-1]])
+    again = (keys[order[1:]] == keys[order[:-1]]).nonzero()[0]
     back = np.zeros(n + 1, np.int64)
     back[order[again + 1]] = order[again + 1] - order[again]
     back[back > (1 << 20) - len(NEIGHBOURS)] = 0
-    edges = np.flatnonzero(np.diff(back, prepend=0))
+    edges = _changes(back)
     found, at = [], 0
     for first, last, d in zip(edges[:-1].tolist(), edges[1:].tolist(), back[edges[:-1]].tolist(), strict=True):
         if d:
@@ -921,7 +931,7 @@ def _write_green(w: Writer, green: np.ndarray, width: int, alpha: int, caching:
     if caching:
         first = np.full(256, -1)
         first[green[::-1]] = np.arange(len(green) - 1, -1, -1)  # of equal values the first is written last
-        values = np.flatnonzero(first >= 0)
+        values = (first >= 0).nonzero()[0]
         first = first[values]
         cache_bits, slots = _cache_for(np.uint32(alpha << 24) | values.astype(np.uint32) << np.uint32(8))
     w.put(int(cache_bits > 0) | cache_bits << 1, 5 if cache_bits else 1)
@@ -957,7 +967,7 @@ def _write_green(w: Writer, green: np.ndarray, width: int, alpha: int, caching:
         more = more | v << bits
         bits = bits + m
     value[starts], n[starts] = more, bits
-    told = np.flatnonzero(n)
+    told = n.nonzero()[0]
     if len(told):
         w.codes(value[told], n[told])
 
